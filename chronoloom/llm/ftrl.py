@@ -80,3 +80,23 @@ def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
     return float(np.exp((lo + hi) / 2))
+
+
+def platt(logits: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic fit to held rows of two classes, with Platt's smoothed targets."""
+    n1, n0 = float((classes == 1).sum()), float((classes == 0).sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    target = np.where(classes == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([logits, np.ones_like(logits)], axis=1)
+    w = weights / weights.mean()
+    ab = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = probabilities((x @ ab)[:, None])[:, 0]
+        h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (w * (p - target)) + 1e-3 * (ab - [1.0, 0.0]))
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        ab = ab - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)

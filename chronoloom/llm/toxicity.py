@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekernel as bk
-from .ftrl import Ftrl, Row
+from .ftrl import Ftrl, Row, platt
 from .langid import learnable
 
 FEATURES = 1 << 20
 #: Bound of the labelled sample, by class.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 4000
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -91,11 +91,12 @@ def _features(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
     return [(y, np.frombuffer(f, np.int32).astype(np.int64)) for y, f in sorted(got)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, epochs: int = 2, l1: float = 2.5) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, epochs: int = 2, l1: float = 4.0) -> ToxicityModel | None:
     """Learn from ``docs(id, text)`` and ``labels(id, y)`` (one row per id, y 0 or 1); None without labels.
 
     A sample of about ``per_class`` labels of each class is chosen by a hash of the id and only its
-    texts are gathered; the bias is then corrected for the classes' shares among all labels.
+    texts are gathered. Every fifth is kept back, and a logistic fit to those, weighted by the classes'
+    shares among all labels, turns the model's sums into probabilities.
     """
     counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -109,10 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, e
     rows: list[Row] = [(f, np.full(len(f), 1.0), y) for y, f in _features(docs.join(F.broadcast(chosen), "id"))]
     if not rows:
         return None
-    w, bias = Ftrl(FEATURES, 2, alpha=0.3, l1=l1).learn(rows, epochs).weights()
-    shift = float(np.log(rates.get(0, 1.0) / rates.get(1, 1.0))) if len(counts) == 2 else 0.0
+    held = rows[::5] if len(rows) >= 50 else []
+    kept = [r for i, r in enumerate(rows) if i % 5] if held else rows
+    w, bias = Ftrl(FEATURES, 2, alpha=0.3, l1=l1).learn(kept, epochs).weights()
+    classes = np.array([y for _, _, y in held], dtype=int)
+    logits = np.array([w[f, 0].sum() + bias[0] for f, _, _ in held])
+    slope, shift = platt(logits, classes, np.where(classes == 1, 1 / rates.get(1, 1.0), 1 / rates.get(0, 1.0))) if held else (1.0, 0.0)
     at = np.flatnonzero(w[:, 0])
-    return ToxicityModel(at, w[at, 0].astype(np.float32), float(bias[0]) + shift)
+    return ToxicityModel(at, (slope * w[at, 0]).astype(np.float32), float(slope * bias[0] + shift))
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
