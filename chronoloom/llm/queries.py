@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, topk, toxicity, urlfilter, warc
+from . import langid, mixing, simhash, tokenbin, topk, toxicity, urlfilter, warc
 from .storage import fresh_path
 
 
@@ -46,6 +46,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    tokenbin.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary_path())
+    return tokenbin.read_tokens(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -80,7 +97,7 @@ select h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, 'allow') as verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op4_simhash_near_dedup, op5_toxicity, op8_exact_top_k, op9_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op4_simhash_near_dedup, op5_toxicity, op6_mix_sources, op7_token_files, op8_exact_top_k, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
