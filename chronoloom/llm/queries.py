@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash, tokenbin, topk, toxicity, urlfilter, warc
+from . import decontam, langid, mixing, simhash, suffixdedup, tokenbin, topk, toxicity, urlfilter, warc
 from .storage import fresh_path
 
 
@@ -36,6 +36,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -96,8 +100,13 @@ select h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, 'allow') as verdic
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op4_simhash_near_dedup, op5_toxicity, op6_mix_sources, op7_token_files, op8_exact_top_k, op9_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_decontaminate, op4_simhash_near_dedup, op5_toxicity, op6_mix_sources, op7_token_files, op8_exact_top_k, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
