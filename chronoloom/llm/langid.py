@@ -211,3 +211,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return predict(rows, fit(rows, learnable("id"), **options))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, **options) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a score above ``least``, all columns kept.
+
+    Rejected are null texts, texts without a letter, and every text if no row has a language to
+    learn from.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, learnable("id"), **options))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            data, off = bk.text_buffers(batch.column(at))
+            keep = np.zeros(len(batch), dtype=bool)
+            for a, b in bk.doc_chunks(off) if m is not None else ():
+                best, score = m.score_buffers(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                keep[a:b] = (best >= 0) & (score > least)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import bytekernel as bk
 from .components import connected_components
-from .storage import written
+from .storage import broadcast_if_small, is_empty, written
 
 SEED = 42
 BLOCK_BITS, BLOCKS = 16, 4
@@ -171,3 +171,20 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, size: int = 3, id_co
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
     names = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "names")
     return rows.join(names, "fp").select("id", "fp", "component")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group, that of the smallest id.
+
+    Null ids count as larger than any; of rows equal in every column one stays.
+    """
+    columns = docs.columns
+    last = F.lit((1 << 63) - 1)
+    name = F.struct(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(*columns).alias("row"))
+    groups = written(near_duplicate_groups(docs.select(name.alias("name"), F.col(text_col).alias("text")), radius, size, "name", "text"), "groups")
+    kept = groups.where("id = component").groupBy(F.col("id.row").alias("__row")).agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
+    keyed = docs.withColumn("__row", F.xxhash64(*columns)).join(broadcast_if_small(kept.select("__row"), 24), "__row", "left_semi")
+    if not is_empty(kept.where("n > 1")):
+        keyed = keyed.dropDuplicates(["__row"])
+    return keyed.select(*columns)

@@ -46,3 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+#: Tables whose counted rows take up to this are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, which are counted here, fit the bound."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
