@@ -124,8 +124,8 @@ def line_timing(lines: DataFrame, lead_max: float = 5.0, linger: float = 4.0, ke
     successor = F.when(following.isNull() | (following == 0.0), F.col("end")).otherwise(following)
     out = lines.withColumn("flip", F.least(F.greatest(F.col("end"), successor), F.col("end") + linger))
     preview = F.greatest(F.lag("flip").over(own), F.col("start") - lead_max)
-    out = out.withColumn("show", F.coalesce(preview, F.greatest(F.lit(0.0), F.col("start") - lead_max)))
-    return out.withColumn("replace", F.least("flip", F.coalesce(F.lead("show").over(own), F.col("flip"))))
+    out = out.withColumn("shown", F.coalesce(preview, F.greatest(F.lit(0.0), F.col("start") - lead_max)))
+    return out.withColumn("replace", F.least("flip", F.coalesce(F.lead("shown").over(own), F.col("flip"))))
 
 
 def running_counts(events: DataFrame, points: DataFrame, category: str, key: str = "track_id", t: str = "t") -> DataFrame:

@@ -50,7 +50,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense signal per (return flag, line status): mean price by day number."""
     li = table(spark, sf_dir, "lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    price = F.round(F.avg(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100, 2)
+    price = F.floor(F.avg(F.round(F.col("l_extendedprice") * 100).cast("long"))) / 100
     return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("track_id"), day.alias("frame")).agg(price.alias("price"), F.count("*").alias("n"))
 
 
@@ -110,7 +110,7 @@ SQL = {
   grouped as (select *, sum(new) over (partition by track_id order by start, "end" rows unbounded preceding) as g from marked),
   merged as (select track_id, min(start) as start, max("end") as "end" from grouped group by track_id, g)""",
     "daily": """daily as (select l_returnflag || l_linestatus as track_id, cast(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) as integer) as frame,
-  round(avg(cast(round(l_extendedprice * 100) as bigint)) / 100, 2) as price, count(*) as n from lineitem group by 1, 2)""",
+  floor(avg(cast(round(l_extendedprice * 100) as bigint))) / 100 as price, count(*) as n from lineitem group by 1, 2)""",
     "chars": """chars as (select cast(1 as bigint) as track_id, l_orderkey as line,
   cast(row_number() over o as integer) as ch, sum(l_quantity) over (o rows unbounded preceding) - l_quantity as "from", sum(l_quantity) over (o rows unbounded preceding) as "to",
   l_returnflag as label, l_quantity as width, l_suppkey as supp from lineitem
