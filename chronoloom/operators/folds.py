@@ -192,21 +192,22 @@ def settle_runs(runs: Sequence[Run], least: int, gap: int) -> list[Run]:
             return now
 
 
-def merge_scoops(notes: list[tuple], longest: float = 0.20, rise: int = 3, gap: float = 0.08) -> list[tuple]:
-    """``(start, end, pitch, mora)``: a mora's short first note that rises into the next is folded into it.
+def merge_scoops(notes: list[tuple], longest: float = 0.25, rise: int = 3, gap: float = 0.04, ratio: float = 1.5) -> list[tuple]:
+    """``(start, end, pitch, mora)``: a mora's short first note that rises into a longer one is folded into it.
 
     After a fold the lengthened note is tested again against its successor.
     """
     out: list[tuple] = []
+    seen: set = set()
     rest = list(reversed(notes))
     while rest:
         s, e, p, m = rest.pop()
-        if rest and m is not None and m >= 0:
+        if rest and m is not None and m >= 0 and m not in seen:
             ns, ne, np_, nm = rest[-1]
-            first = not out or out[-1][3] != m
-            if first and nm == m and e - s <= longest and 0 < np_ - p <= rise and ns - e <= gap:
+            if nm == m and e - s <= longest and ne - ns >= ratio * (e - s) and 1 <= np_ - p <= rise and ns - e <= gap:
                 rest[-1] = (s, ne, np_, nm)
                 continue
+        seen.add(m)
         out.append((s, e, p, m))
     return out
 

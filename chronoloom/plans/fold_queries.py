@@ -77,13 +77,14 @@ def octave_local(spark, d):
     return folds.by_key(V.notes(spark, d), lambda rows: [(i, p) for (*_, i), (_, _, p) in zip(rows, folds.raise_local_octaves([r[:3] for r in rows]), strict=True)], ("start", "end", "p", "note_id"), _ORDER, "note_id long, p int").select("note_id", "p")
 
 
-@query(twin(f""", {_SEQ}, r as (select track_id, n, 1 as g, start as cs, "end" as ce, p as cp, pc % 3 as cm, true as first from o where n = 1
-  union all select o.track_id, o.n, case when f.y then r.g else r.g + 1 end, case when f.y then r.cs else o.start end, o."end", o.p, o.pc % 3, case when f.y then r.first else r.cm <> o.pc % 3 end
-  from r join o on o.track_id = r.track_id and o.n = r.n + 1, lateral (select r.first and o.pc % 3 = r.cm and r.ce - r.cs <= 40000 and o.p - r.cp between 1 and 12 and o.start - r.ce <= 86400 as y) f)
+@query(twin(f""", {_SEQ}, r as (select track_id, n, 1 as g, start as cs, "end" as ce, p as cp, pc as cm, []::integer[] as seen from o where n = 1
+  union all select o.track_id, o.n, case when f.y then r.g else r.g + 1 end, case when f.y then r.cs else o.start end, o."end", o.p, o.pc, case when f.y then r.seen else list_append(r.seen, r.cm) end
+  from r join o on o.track_id = r.track_id and o.n = r.n + 1,
+    lateral (select not list_contains(r.seen, r.cm) and o.pc = r.cm and r.ce - r.cs <= 40000 and o."end" - o.start >= 0.5 * (r.ce - r.cs) and o.p - r.cp between 1 and 24 and o.start - r.ce <= 864000 as y) f)
 select track_id, min(cs) as start, max_by(ce, n) as "end", max_by(cp, n) as p, min(cm) as mora from r group by track_id, g""", "notes", recursive=True))
 def merge_scoops(spark, d):
-    n = V.notes(spark, d).withColumn("mora", F.col("pc") % 3)
-    return folds.by_key(n, lambda rows: folds.merge_scoops(rows, 40000.0, 12, 86400.0), ("start", "end", "p", "mora"), _ORDER, "start double, end double, p int, mora int")
+    n = V.notes(spark, d).withColumn("mora", F.col("pc"))
+    return folds.by_key(n, lambda rows: folds.merge_scoops(rows, 40000.0, 24, 864000.0, 0.5), ("start", "end", "p", "mora"), _ORDER, "start double, end double, p int, mora int")
 
 
 @query(twin(f""", {_SEQ}, r as (select track_id, n, 1 as g, start as a from o where n = 1
