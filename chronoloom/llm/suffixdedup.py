@@ -19,7 +19,7 @@ ANCHOR = 16
 #: Contexts of one anchor beyond which its strings are counted by hash instead of sorted.
 GROUP_LIMIT = 1024
 #: Bytes of contexts that one transform holds.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Tables of positions up to this size are broadcast to the texts; larger ones meet them by shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Starts handled at once in a long document.
@@ -203,14 +203,15 @@ def _contexts(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(1))
             n, p = _places(batch, 2)
-            row = np.repeat(np.arange(len(n)), n)
-            begin = off[row] + p["lo"]
-            raw = data.tobytes()
-            body = [raw[s : s + k + length - 1] for s, k in zip(begin.tolist(), p["cnt"].tolist(), strict=True)]
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            for x in range(0, len(body), 20000):
-                y = slice(x, x + 20000)
-                yield pa.RecordBatch.from_arrays([pa.array(p["a"][y]), pa.array(keys[y]), pa.array(p["lo"][y]), pa.array(p["cnt"][y]), pa.array(body[y], pa.binary())], names=_CONTEXTS.names)
+            first = np.concatenate([[0], np.cumsum(n)])
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in bk.doc_chunks(off):
+                mine = slice(first[a], first[b])
+                lo, cnt = p["lo"][mine], p["cnt"][mine]
+                begin = np.repeat(off[a:b] - off[a], n[a:b]) + lo
+                raw = data[off[a] : off[b]].tobytes()
+                body = [raw[s : s + k + length - 1] for s, k in zip(begin.tolist(), cnt.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(p["a"][mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary())], names=_CONTEXTS.names)
 
     return joined.mapInArrow(run, _CONTEXTS)
 
@@ -334,23 +335,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = _to_texts(texts, by_doc, "left").select("own", "text", "places")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
+    def left(own: pa.Array, data: np.ndarray, off: np.ndarray, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
+        edge = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, until, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        removed = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(gone, out=removed[1:])
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        heads = off[:-1][off[:-1] < len(data)]
+        begins[heads] = gone[heads]
+        spans = np.searchsorted(np.flatnonzero(begins), off)
+        kept, cut = data[~gone].tobytes(), off - removed[off]
+        body = [kept[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([own, pa.array(np.diff(off)), pa.array(np.diff(removed[off])), pa.array(np.diff(spans)), pa.array(body, pa.binary())], names=out.names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(1))
             n, p = _places(batch, 2)
-            row = np.repeat(np.arange(len(n)), n)
-            edge = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(edge, off[row] + p.get("s", 0), 1)
-            np.add.at(edge, off[row] + p.get("e", 0), -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            removed = np.concatenate([[0], np.cumsum(gone)])
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            begins[off[:-1][off[:-1] < len(data)]] = gone[off[:-1][off[:-1] < len(data)]]
-            spans = np.concatenate([[0], np.cumsum(begins)])
-            kept, at = data[~gone].tobytes(), off - removed[off]
-            body = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(np.diff(removed[off])), pa.array(np.diff(spans[off])), pa.array(body, pa.binary())], names=out.names)
+            first = np.concatenate([[0], np.cumsum(n)])
+            for a, b in bk.doc_chunks(off):
+                mine = slice(first[a], first[b])
+                base = np.repeat(off[a:b] - off[a], n[a:b])
+                s, e = p.get("s", base)[mine] if len(p) else base, p.get("e", base)[mine] if len(p) else base
+                yield left(batch.column(0).slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a], base + s, base + e)
 
     return joined.mapInArrow(run, out)
-
