@@ -84,24 +84,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = MIN_BYTES) -> t
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` symbols (of 9 bits), by doubling."""
+    """Suffixes of ``text`` in the order of their first ``depth`` symbols.
+
+    The first key packs as many symbols as fit 63 bits; each further key packs the ranks at three
+    places, which triples what is known.
+    """
     n = len(text)
-    pad = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+    if n >= 1 << 21:
+        raise ValueError("a shard holds fewer than 2**21 symbols")
+    used = np.zeros(int(text.max()) + 1, dtype=bool)
+    used[text] = True
+    dense = (np.cumsum(used) - used[0]).astype(np.uint64)
+    bits = max(1, int(dense[-1]).bit_length())
+    known = 63 // bits
+    pad = np.concatenate([dense[text], np.zeros(known, np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | pad[j : j + n]
+    for j in range(known):
+        key = (key << np.uint64(bits)) | pad[j : j + n]
     order = np.argsort(key)
-    known = 7
-    while True:
+    while known < depth:
         s = key[order]
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.concatenate([[1], 1 + np.cumsum(s[1:] != s[:-1])]).astype(np.uint64)
-        if known >= depth:
-            return order
-        key = rank << np.uint64(32)
-        key[: n - known] |= rank[known:] if known < n else 0
+        rank = np.zeros(n + 2 * known, dtype=np.uint64)
+        step = np.ones(n, dtype=np.uint64)
+        step[1:] = s[1:] != s[:-1]
+        rank[order] = np.cumsum(step)
+        key = (rank[:n] << np.uint64(42)) | (rank[known : n + known] << np.uint64(21)) | rank[2 * known : n + 2 * known]
         order = np.argsort(key)
-        known *= 2
+        known *= 3
+    return order
 
 
 def long_prefix_boundaries(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +284,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int =
     ``group_limit`` different contexts has its strings counted by hash instead, which any number of
     tasks can share.
     """
-    table = _anchor_table(texts, length)
+    table = written(_anchor_table(texts, length), "anchors")
     twice = written(table.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "twice")
     shared = written(table.join(twice, "a"), "shared-anchors")
     different = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "cnt")).alias("at")), "contexts")
