@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ GROUP_LIMIT = 1024
 SHARD_BYTES = 1 << 19
 #: Tables of positions up to this size are broadcast to the texts; larger ones meet them by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
 #: Starts handled at once in a long document.
 _STRIDE = 1 << 21
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -193,17 +196,20 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
 
 def _to_texts(texts: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
     """Join lists of places to the texts: without moving the texts if the lists are small."""
+    fields = [f.name for f in by_doc.schema["places"].dataType.elementType.fields]
     size = by_doc.agg(F.sum(F.size("places")), F.count("*")).first()
-    small = 24 * (size[0] or 0) + 64 * size[1] <= BROADCAST_BYTES
-    return texts.join(F.broadcast(by_doc) if small else by_doc, "key", how)
+    small = 8 * len(fields) * (size[0] or 0) + 128 * size[1] <= BROADCAST_BYTES
+    # an array of structs takes 16 bytes more by element than an array by field
+    flat = by_doc.select("key", *[F.col(f"places.{f}").alias(f) for f in fields])
+    joined = texts.join(F.broadcast(flat) if small else flat, "key", how)
+    return joined.select(*texts.columns, *fields)
 
 
-def _places(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    lists = batch.column(column)
-    if lists.null_count:
-        lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), pa.array(np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32))]), lists.flatten())
-    flat = lists.flatten()
-    return np.diff(lists.offsets.to_numpy()), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+def _places(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(number of places by row, the lists' elements column by column); a null list is empty."""
+    lists = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+    n = np.asarray(pc.fill_null(pc.list_value_length(lists[0]), 0), dtype=np.int64)
+    return n, [pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in lists]
 
 
 def _contexts(joined: DataFrame, length: int) -> DataFrame:
@@ -212,16 +218,16 @@ def _contexts(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(1))
-            n, p = _places(batch, 2)
+            n, (anchor, los, cnts) = _places(batch, ["a", "lo", "cnt"])
             first = np.concatenate([[0], np.cumsum(n)])
             own = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in bk.doc_chunks(off):
                 mine = slice(first[a], first[b])
-                lo, cnt = p["lo"][mine], p["cnt"][mine]
+                lo, cnt = los[mine], cnts[mine]
                 begin = np.repeat(off[a:b] - off[a], n[a:b]) + lo
                 raw = data[off[a] : off[b]].tobytes()
                 body = [raw[s : s + k + length - 1] for s, k in zip(begin.tolist(), cnt.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p["a"][mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary())], names=_CONTEXTS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary())], names=_CONTEXTS.names)
 
     return joined.mapInArrow(run, _CONTEXTS)
 
@@ -296,7 +302,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int =
     parts = [whole]
     for crowded in (False, True):
         lists = by_doc.where(F.col("crowded") == crowded).select("key", "places")
-        contexts = _contexts(_to_texts(texts, lists, "inner").select("key", "text", "places"), length)
+        contexts = _contexts(_to_texts(texts, lists, "inner"), length)
         if crowded:
             parts.append(_spans_by_hash(contexts, length))
         else:
@@ -339,10 +345,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the
     same document or another (rows that repeat a document are other documents). Strings never cross
     documents and are judged on the input. Null text is empty; texts shorter than ``length`` stay.
+    Lowers the session's rows per Arrow batch to BATCH_ROWS.
     """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(name, str(min(BATCH_ROWS, int(conf.get(name)) if int(conf.get(name)) > 0 else BATCH_ROWS)))
     texts = keyed_texts(docs, id_col, text_col)
     by_doc = written(_merged(repeated_spans(texts.select("key", "text"), length, group_limit)), "spans")
-    joined = _to_texts(texts, by_doc, "left").select("own", "text", "places")
+    joined = _to_texts(texts, by_doc, "left").select("own", "text", "s", "e")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def left(own: pa.Array, data: np.ndarray, off: np.ndarray, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
@@ -364,12 +373,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(1))
-            n, p = _places(batch, 2)
+            n, (begins, ends) = _places(batch, ["s", "e"])
             first = np.concatenate([[0], np.cumsum(n)])
             for a, b in bk.doc_chunks(off):
                 mine = slice(first[a], first[b])
                 base = np.repeat(off[a:b] - off[a], n[a:b])
-                s, e = p.get("s", base)[mine] if len(p) else base, p.get("e", base)[mine] if len(p) else base
+                s, e = begins[mine], ends[mine]
                 yield left(batch.column(0).slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a], base + s, base + e)
 
     return joined.mapInArrow(run, out)
