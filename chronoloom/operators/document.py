@@ -135,3 +135,47 @@ def fill_spans(pairs: DataFrame, key: str = "track_id", unit: str = "ch") -> Dat
     line = F.col("_b.t") + (F.col("_a.t") - F.col("_b.t")) * ((F.col(unit) - F.col("_b.i")) / (F.col("_a.i") - F.col("_b.i")))
     at = F.when(F.col("_b").isNull(), F.coalesce("_a.t", F.lit(0.0))).when(F.col("_a").isNull(), F.col("_b.t")).otherwise(line)
     return s.select(key, unit, F.coalesce("start", at).alias("start"), F.coalesce("end", at).alias("end"))
+
+
+def stamp(seconds: float) -> str:
+    """``[mm:ss:cc]``, as ``clock``."""
+    cs = round(max(seconds, 0.0) * 100)
+    return f"[{cs // 6000:02d}:{cs // 100 % 60:02d}:{cs % 100:02d}]"
+
+
+def ruby_lines(lines: Sequence[Sequence[dict]], block: int = 2) -> str:
+    """A song's lyric file: readings of kanji runs, then timed lines with a blank line every ``block``.
+
+    ``lines`` are lists of tokens with surface, reading, kana_only, start, end and chars of (char,
+    start, end). A reading's time ends 0.05 s after the tag of the character that follows it.
+    """
+    from ..functions.text import furigana
+
+    if block not in (1, 2, 3, 4):
+        raise ValueError(f"blocks have 1 to 4 lines, not {block}")
+    readings: list[str] = []
+    body: list[str] = []
+    shown = 0
+    for tokens in lines:
+        chars = [c for t in tokens for c in t["chars"]]
+        if not chars:
+            continue
+        at, end = 0, tokens[0]["start"]
+        for t in tokens:
+            end = max([end, *(c[2] for c in t["chars"])])
+            wanted = furigana(t["surface"], t["reading"]) if t["reading"] and not t["kana_only"] and t["surface"] and t["chars"] else []
+            for text, reading, a, b in wanted:
+                if reading is None:
+                    continue
+                if b > len(t["chars"]):
+                    start, stop = t["start"], t["end"]
+                else:
+                    start = t["chars"][a][1]
+                    stop = chars[at + b][1] if at + b < len(chars) else max(t["chars"][b - 1][2], end)
+                readings.append(f"@Ruby{len(readings) + 1}={text},{reading},{stamp(start)},{stamp(stop + 0.05)}")
+            at += len(t["chars"])
+        body.append("".join(stamp(c[1]) + c[0] for c in chars) + stamp(end))
+        shown += 1
+        if shown % block == 0:
+            body.append("")
+    return "\n".join([*readings, *([""] if readings else []), *body, ""])

@@ -246,3 +246,19 @@ def test_free_parts_are_the_complement(taken, start, length):
 def test_weighted_median():
     assert folds.weighted_median([60, 62, 70], [1.0, 1.0, 5.0]) == 70 and folds.weighted_median([60, 64], [0, 0]) == 62
     random.seed(1)
+
+
+def test_weak_notes_settle():
+    steady = curve_of((60, 100), (62, 100))
+    assert refine.settle_weak([(0, 0.5, 60), (0.5, 0.54, 65), (0.54, 1.0, 60)], steady) == [(0, 0.5, 60), (0.5, 0.54, 60), (0.54, 1.0, 60)]
+    sure = [(0, 1.0, 60), (1.0, 2.0, 62)]
+    assert refine.settle_weak(sure, steady) == sure
+    assert refine.settle_weak([(0, 0.5, 60), (0.5, 0.52, 66), (0.52, 1.0, 64)], steady)[1][2] == 60
+    assert [p for _, _, p in refine.settle_weak([(0, 0.5, 60), (0.5, 0.9, 70), (0.9, 1.0, 60)], steady)] == [60, 60, 60]
+
+
+def test_ruby_lines():
+    token = {"surface": "青い", "reading": "あおい", "kana_only": False, "start": 1.0, "end": 2.0, "chars": [("青", 1.0, 1.5), ("い", 1.5, 2.0)]}
+    assert document.ruby_lines([[token]], 1) == "@Ruby1=青,あお,[00:01:00],[00:01:55]\n\n[00:01:00]青[00:01:50]い[00:02:00]\n\n"
+    with pytest.raises(ValueError):
+        document.ruby_lines([], 5)
