@@ -262,3 +262,18 @@ def test_ruby_lines():
     assert document.ruby_lines([[token]], 1) == "@Ruby1=青,あお,[00:01:00],[00:01:55]\n\n[00:01:00]青[00:01:50]い[00:02:00]\n\n"
     with pytest.raises(ValueError):
         document.ruby_lines([], 5)
+
+
+def test_lines_take_notes_in_order():
+    lines = [(0.0, 1.0, [0.0, 0.5]), (1.0, 2.0, [1.0])]
+    notes = [(0.0, 0.4), (0.5, 0.9), (0.95, 1.2), (1.3, 2.0)]
+    assert align.allocate_lines(lines, notes) == [[(0.0, 0.4), (0.5, 0.9)], [(0.95, 1.2)]]
+    assert align.allocate_lines(lines, notes, first_delay=0.2)[1] == [(1.3, 2.0)]
+    assert align.allocate_lines(lines, notes, absorb=True, next_guard=0.0)[0][-1] == (0.5, 1.2)
+    assert align.allocate_lines([(9.0, 9.5, [9.1])], notes) == [[(9.1, 9.1)]]
+
+
+def test_morae():
+    assert X.morae("きょうがっこう") == ["きょ", "う", "が", "っ", "こ", "う"]
+    got = X.expand_morae([{"surface": "今日", "reading": "きょう"}, {"surface": "、", "is_punct": True}, {"surface": "食べる", "reading": "たべる"}])
+    assert got == [("きょ", 0, 0), ("う", 0, 1), ("た", 2, 0), ("べ", 2, 1), ("る", 2, 2)]
