@@ -195,3 +195,24 @@ def tick_deltas(notes: DataFrame, key: str = "track_id", tempo: int = DEFAULT_TE
     out = notes.withColumn("on_tick", on).withColumn("off_tick", F.greatest(ticks_of(F.col("end"), tempo, per_beat), F.col("on_tick") + 1))
     before = F.lag("off_tick", 1, 0).over(W.partitionBy(key).orderBy("start", "end", "note_id"))
     return out.withColumn("delta", F.greatest(F.col("on_tick") - before, F.lit(0)))
+
+
+def cursor_ticks(notes: Iterable[tuple[float, float, float]], tempo: int = DEFAULT_TEMPO, per_beat: int = 480) -> list[tuple[int, int, int]]:
+    """(ticks before the on, ticks before the off, pitch) against a running cursor.
+
+    Notes of pitch 0 are skipped and pitches round half to even; times are cut to whole ticks, the
+    end 0.1 ms early; an on waits 0 ticks or more, an off one or more, and the cursor moves by what
+    was written.
+    """
+
+    def whole(t: float) -> int:
+        return int(t * 1e6 * per_beat / tempo)
+
+    out, cursor = [], 0
+    for start, end, pitch in notes:
+        if pitch:
+            gap = whole(start) - cursor
+            wait, length = max(0, gap), max(1, whole(end - 0.0001) - gap - cursor)
+            out.append((wait, length, round(pitch)))
+            cursor += wait + length
+    return out

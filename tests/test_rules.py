@@ -277,3 +277,14 @@ def test_morae():
     assert X.morae("きょうがっこう") == ["きょ", "う", "が", "っ", "こ", "う"]
     got = X.expand_morae([{"surface": "今日", "reading": "きょう"}, {"surface": "、", "is_punct": True}, {"surface": "食べる", "reading": "たべる"}])
     assert got == [("きょ", 0, 0), ("う", 0, 1), ("た", 2, 0), ("べ", 2, 1), ("る", 2, 2)]
+
+
+def test_bars_tokens_and_cursor():
+    bars = [(0.0, 1.0), (1.0, 2.0), (3.0, 4.0)]
+    assert techniques.bar_of("shakuri", 0.95, bars) == 1 and techniques.bar_of("fall", 0.95, bars) == 1
+    assert techniques.bar_of("kobushi", 2.2, bars) == 1 and techniques.bar_of("vibrato", 3.5, bars) == 2 and techniques.bar_of("shakuri", 9, bars) == 2
+    words = {"君のため": [("君", "くん", "接尾辞"), ("の", "の", "助詞"), ("ため", "ため", "名詞")], "君": [("君", "きみ", "代名詞")], "僕君": [("僕", "ぼく", "代名詞"), ("君", "くん", "接尾辞")]}
+    tagger = lambda s: [{"surface": a, "reading": b, "pos": c} for a, b, c in words[s]]
+    assert [t["reading"] for t in X.read_tokens("君のため　僕君", tagger)] == ["きみ", "の", "ため", "ぼく", "くん"]
+    assert X.read_tokens("君のため", tagger, {"君": "キミ"})[0]["reading"] == "キミ"
+    assert midi.cursor_ticks([(0.0, 0.5, 60.4), (0.5, 1.0, 0), (0.5, 0.5, 61)]) == [(0, 479, 60), (1, 1, 61)]
