@@ -288,3 +288,10 @@ def test_bars_tokens_and_cursor():
     assert [t["reading"] for t in X.read_tokens("君のため　僕君", tagger)] == ["きみ", "の", "ため", "ぼく", "くん"]
     assert X.read_tokens("君のため", tagger, {"君": "キミ"})[0]["reading"] == "キミ"
     assert midi.cursor_ticks([(0.0, 0.5, 60.4), (0.5, 1.0, 0), (0.5, 0.5, 61)]) == [(0, 479, 60), (1, 1, 61)]
+
+
+def test_kana_units():
+    units = X.kana_units([{"surface": "今日", "reading": "キョウ"}, {"surface": "　は", "reading": None}])
+    assert units == [("き", 0, 2), ("ょ", 0, 2), ("う", 0, 2), ("は", 2, 3)]
+    timed = X.timed_kana(units, [(0.0, 1.0), (1.0, 3.0), (3.0, 4.0)])
+    assert timed == [("き", 0.0, 1.0), ("ょ", 1.0, 2.0), ("う", 2.0, 3.0), ("は", 3.0, 4.0)]
