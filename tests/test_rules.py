@@ -295,3 +295,11 @@ def test_kana_units():
     assert units == [("き", 0, 2), ("ょ", 0, 2), ("う", 0, 2), ("は", 2, 3)]
     timed = X.timed_kana(units, [(0.0, 1.0), (1.0, 3.0), (3.0, 4.0)])
     assert timed == [("き", 0.0, 1.0), ("ょ", 1.0, 2.0), ("う", 2.0, 3.0), ("は", 3.0, 4.0)]
+
+
+def test_aligner_words():
+    assert X.aligner_words(list("きょうは")) == (["kyo", "u", "ha"], [[0, 1], [2], [3], [4, 5]])
+    assert X.aligner_words(list("がっこう")) == (["ga", "kko", "u"], [[0, 1], [2], [3, 4], [5]])
+    assert X.aligner_words(list("カード")) == (["ka", "a", "do"], [[0, 1], [2], [3, 4]])
+    assert X.aligner_words(list("OKっ")) == (["ok"], [[0], [1], []])
+    assert X.aligner_words(["し", "ゅ", "ふ", "ぁ", "つ"])[0] == ["shu", "fa", "tsu"]
