@@ -128,14 +128,14 @@ def line_timing(lines: DataFrame, lead_max: float = 5.0, linger: float = 4.0, ke
     return out.withColumn("replace", F.least("flip", F.coalesce(F.lead("shown").over(own), F.col("flip"))))
 
 
-def running_counts(events: DataFrame, points: DataFrame, category: str, key: str = "track_id", t: str = "t") -> DataFrame:
-    """Per point and category, how many events have ended at or before it."""
+def running_counts(events: DataFrame, points: DataFrame, category: str, values: Sequence[str], key: str = "track_id", t: str = "t") -> DataFrame:
+    """Per point and category of ``values``, how many events have ended at or before it."""
     from .asof import asof_backward
 
     order = W.partitionBy(key, category).orderBy("end", "note_id")
     counted = events.select(key, category, F.col("end").alias("t"), F.row_number().over(order).alias("n"))
     steps = counted.withColumn("k", F.concat_ws("|", key, category))
-    asked = points.crossJoin(F.broadcast(events.select(category).distinct().limit(1000))) if category not in points.columns else points
+    asked = points.withColumn(category, F.explode(F.array(*[F.lit(v) for v in values])))
     asked = asked.withColumn("k", F.concat_ws("|", key, category)).withColumnRenamed(t, "at")
     found = asof_backward(asked, steps.select("k", "t", "n"), "k", "at", "t", tie="n")
     return found.select(*[c for c in asked.columns if c not in ("k", "at")], F.col("at").alias(t), F.coalesce(F.col("mark.n"), F.lit(0)).alias("done"))

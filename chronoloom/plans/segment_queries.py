@@ -130,10 +130,10 @@ def nearest_known(spark, d):
 
 
 @query(twin(""" select f.track_id, f.frame, t.event_type, (select count(*) from notes n where n.track_id = f.track_id and n.event_type = t.event_type and n."end" <= f.t) as done
-from frames f, (select distinct event_type from notes) t""", "frames", "notes"))
+from frames f, (values ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(event_type)""", "frames", "notes"))
 def hud_counts(spark, d):
     p = V.frames(spark, d).select("track_id", "frame", "t")
-    return segments.running_counts(V.notes(spark, d), p, "event_type").select("track_id", "frame", "event_type", F.col("done").cast("long").alias("done"))
+    return segments.running_counts(V.notes(spark, d), p, "event_type", ("click", "error", "purchase", "signup", "view")).select("track_id", "frame", "event_type", F.col("done").cast("long").alias("done"))
 
 
 _PAIRS = f"""pairs as (select n.track_id, n.note_id, ({_F0} - n.p) * 100 as c from frames f join notes n on n.track_id = f.track_id and f.t >= n.start and f.t < n."end" and f.note_id <> n.note_id where f0 > 0 {{0}})"""
