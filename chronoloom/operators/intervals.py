@@ -97,12 +97,12 @@ def gaps_between(df: DataFrame, key: str = "track_id") -> DataFrame:
 def fill_from(primary: DataFrame, fallback: DataFrame, key: str = "track_id", least: float = 0.08, guard: float = 0.02, bucket: float = 86400.0) -> DataFrame:
     """``fallback`` intervals minus ``primary`` ones: pieces shrunk by ``guard`` on sides that were cut
     or not, kept if they were at least ``least + 2 * guard`` long. Other fallback columns are carried."""
-    gaps = gaps_between(primary.select(key, "start", "end"), key)
-    far = 1e18
-    gaps = gaps.select(key, F.coalesce("start", F.lit(-far)).alias("g_start"), F.coalesce("end", F.lit(far)).alias("g_end"))
-    keyed = fallback.join(gaps.withColumnRenamed(key, "g_key"), (F.col(key) == F.col("g_key")) & (F.col("start") < F.col("g_end")) & (F.col("end") > F.col("g_start")), "left")
-    lone = keyed.join(primary.select(F.col(key).alias("p_key")).distinct(), F.col(key) == F.col("p_key"), "left_anti").select(*fallback.columns)
-    cut = keyed.where("g_key is not null").withColumn("s", F.greatest("start", "g_start")).withColumn("e", F.least("end", "g_end"))
+    bounds = fallback.groupBy(key).agg((F.min("start") - 1).alias("lo"), (F.max("end") + 1).alias("hi"))
+    gaps = gaps_between(primary.select(key, "start", "end"), key).join(bounds, key)
+    gaps = gaps.select(key, F.coalesce("start", "lo").alias("start"), F.coalesce("end", "hi").alias("end")).where("end > start")
+    pairs = overlap_join(fallback, gaps, key, bucket)
+    cut = pairs.withColumn("s", F.greatest("start", "r_start")).withColumn("e", F.least("end", "r_end"))
+    lone = fallback.join(primary.select(F.col(key).alias("p_key")).distinct(), F.col(key) == F.col("p_key"), "left_anti")
     rest = [c for c in fallback.columns if c not in (key, "start", "end")]
     pieces = cut.select(key, F.col("s").alias("start"), F.col("e").alias("end"), *rest).unionByName(lone.select(key, "start", "end", *rest))
     long_enough = pieces.where(F.col("end") - F.col("start") >= least + 2 * guard)
