@@ -19,6 +19,8 @@ MIN_BYTES = 200
 ANCHOR = 16
 #: Contexts of one anchor beyond which its strings are counted by hash instead of sorted.
 GROUP_LIMIT = 1024
+#: Neighbouring starts of a crowded anchor that are looked at together.
+CELL = 16
 #: Bytes of contexts that one transform holds.
 SHARD_BYTES = 1 << 19
 #: Tables of positions up to this size are broadcast to the texts; larger ones meet them by shuffle.
@@ -177,8 +179,11 @@ def repeated_starts(contexts: list[bytes], length: int = MIN_BYTES) -> np.ndarra
 _KEY = [T.StructField("key", T.LongType())]
 _ANCHORS = T.StructType([*_KEY, T.StructField("lo", T.IntegerType()), T.StructField("cnt", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("c", T.LongType())])
 _SPANS = T.StructType([*_KEY, T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
-_CONTEXTS = T.StructType([T.StructField("a", T.LongType()), *_KEY, T.StructField("lo", T.IntegerType()), T.StructField("cnt", T.IntegerType()), T.StructField("body", T.BinaryType())])
-_GRAMS = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType()), *_KEY, T.StructField("s", T.IntegerType())])
+_CONTEXTS = T.StructType([T.StructField("a", T.LongType()), *_KEY, T.StructField("lo", T.IntegerType()), T.StructField("cnt", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("left", T.IntegerType())])
+_CELLS = T.StructType([
+    T.StructField("a", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("hl", T.LongType()), T.StructField("hs", T.LongType()),
+    *_KEY, T.StructField("s", T.IntegerType()), T.StructField("fine", T.ArrayType(T.LongType())),
+])
 
 
 def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
@@ -212,8 +217,8 @@ def _places(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, list
     return n, [pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in lists]
 
 
-def _contexts(joined: DataFrame, length: int) -> DataFrame:
-    """The bytes of each listed context."""
+def _contexts(joined: DataFrame, length: int, pad: int = 0) -> DataFrame:
+    """The bytes of each listed context, with up to ``pad`` more on both sides; left: how many before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +229,13 @@ def _contexts(joined: DataFrame, length: int) -> DataFrame:
             for a, b in bk.doc_chunks(off):
                 mine = slice(first[a], first[b])
                 lo, cnt = los[mine], cnts[mine]
-                begin = np.repeat(off[a:b] - off[a], n[a:b]) + lo
+                base = np.repeat(off[a:b] - off[a], n[a:b])
+                stop = np.repeat(off[a + 1 : b + 1] - off[a], n[a:b])
+                left = np.minimum(lo, pad)
                 raw = data[off[a] : off[b]].tobytes()
-                body = [raw[s : s + k + length - 1] for s, k in zip(begin.tolist(), cnt.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary())], names=_CONTEXTS.names)
+                ends = np.minimum(base + lo + cnt + length - 1 + pad, stop)
+                body = [raw[s:e] for s, e in zip((base + lo - left).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary()), pa.array(left.astype(np.int32))], names=_CONTEXTS.names)
 
     return joined.mapInArrow(run, _CONTEXTS)
 
@@ -262,23 +270,67 @@ def _spans_by_transform(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, _SPANS)
 
 
+def cells_of(data: np.ndarray, off: np.ndarray, left: np.ndarray, cnt: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(context, cell, first start, starts, long hash, has one, short hash, hashes of all starts' strings).
+
+    A cell has up to CELL neighbouring starts, aligned at the anchor, so equal strings lie in equal
+    cells. Its long string covers the strings of all CELL starts, its short string is their overlap.
+    """
+    n = len(cnt)
+    base = off[:-1] + left
+    row = np.repeat(np.arange(n), np.diff(off))
+    at = np.flatnonzero(_anchor_hashes(data) == a[row[: max(len(data) - ANCHOR + 1, 0)]])
+    rel = at - base[row[at]]
+    ok = (rel >= 0) & (rel <= length - ANCHOR)
+    place = np.zeros(n, dtype=np.int64)
+    np.maximum.at(place, row[at][ok], rel[ok])  # the anchor is its last occurrence in the first string
+    low, high = (place - cnt + 1) // CELL, place // CELL
+    size = high - low + 1
+    ctx = np.repeat(np.arange(n), size)
+    k = np.repeat(low, size) + np.arange(len(ctx)) - np.repeat(np.cumsum(size) - size, size)
+    head = place[ctx] - CELL * k - (CELL - 1)  # the cell's first start, owned or not
+    first = np.maximum(head, 0)
+    owned = np.minimum(head + CELL, cnt[ctx]) - first
+    begin = base[ctx] + head
+    whole = (head >= -left[ctx]) & (begin + CELL - 1 + length <= off[1:][ctx])
+    hl = np.zeros(len(ctx), dtype=np.uint64)
+    hl[whole] = bk.span_hashes(data, begin[whole], begin[whole] + CELL - 1 + length)
+    hs = bk.span_hashes(data, begin + CELL - 1, begin + length)
+    start = np.repeat(base[ctx] + first, owned) + np.arange(owned.sum()) - np.repeat(np.cumsum(owned) - owned, owned)
+    return ctx, k, first, owned, hl, whole, hs, bk.span_hashes(data, start, start + length)
+
+
 def _spans_by_hash(contexts: DataFrame, length: int) -> DataFrame:
-    """Covered spans of contexts of crowded anchors: strings are counted by 95 bits of hash."""
+    """Covered spans of contexts of crowded anchors, by hashes that any number of tasks can share.
+
+    If a cell's long string occurs twice, all its strings do; if its short string occurs once, none
+    does. Only the cells between, at the edges of what is shared, have their strings counted one by
+    one, against each other and against one cell of every repeated long string. Hashes have 64 bits
+    and are compared within one anchor.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(4))
-            cnt, lo = batch.column(3).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(cnt)), cnt)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            begin = off[row] + step
-            h1 = bk.span_hashes(data, begin, begin + length)
-            h2 = bk.span_hashes(np.bitwise_xor(data, np.uint8(0x5A)), begin, begin + length)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(batch.column(1).to_numpy()[row]), pa.array((lo[row] + step).astype(np.int32))], names=_GRAMS.names)
-
-    grams = written(contexts.mapInArrow(run, _GRAMS), "grams")
-    again = written(grams.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-grams")
-    return grams.join(again, ["h1", "h2"]).select("key", "s", (F.col("s") + length).alias("e"))
+            a = batch.column(0).to_numpy()
+            ctx, k, first, owned, hl, whole, hs, fine = cells_of(data, off, batch.column(5).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64), a.view(np.uint64), length)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(owned)]).astype(np.int32)), pa.array(fine.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(a[ctx]), pa.array(k.astype(np.int32)), pa.array(hl.view(np.int64), mask=~whole), pa.array(hs.view(np.int64)),
+                pa.array(batch.column(1).to_numpy()[ctx]), pa.array((batch.column(2).to_numpy()[ctx] + first).astype(np.int32)), lists,
+            ], names=_CELLS.names)
+
+    cells = written(contexts.mapInArrow(run, _CELLS), "cells")
+    long_ = written(cells.where("hl is not null").groupBy("a", "k", "hl").agg(F.count("*").alias("n"), F.min("hs").alias("hs"), F.min("fine").alias("fine")).where("n > 1"), "long")
+    short = written(cells.groupBy("a", "k", "hs").agg(F.count("*").alias("n")).where("n > 1").select("a", "k", "hs"), "short")
+    whole = cells.join(long_.select("a", "k", "hl"), ["a", "k", "hl"], "left_semi").select("key", "s", (F.col("s") + F.size("fine") - 1 + length).alias("e"))
+    edges = written(cells.join(short, ["a", "k", "hs"], "left_semi").join(long_.select("a", "k", "hl"), ["a", "k", "hl"], "left_anti"), "edges")
+    witness = long_.join(edges.select("a", "k", "hs").distinct(), ["a", "k", "hs"], "left_semi").select("a", F.lit(None).cast("long").alias("key"), F.lit(0).alias("s"), "fine")
+    strings = edges.select("a", "key", "s", "fine").unionByName(witness).select("a", "key", "s", F.posexplode("fine").alias("i", "h"))
+    strings = written(strings.select("a", "h", "key", (F.col("s") + F.col("i")).alias("s")), "strings")
+    again = written(strings.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1").select("a", "h"), "repeated-strings")
+    single = strings.where("key is not null").join(again, ["a", "h"], "left_semi").select("key", "s", (F.col("s") + length).alias("e"))
+    return whole.unionByName(single)
 
 
 def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -302,7 +354,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int =
     parts = [whole]
     for crowded in (False, True):
         lists = by_doc.where(F.col("crowded") == crowded).select("key", "places")
-        contexts = _contexts(_to_texts(texts, lists, "inner"), length)
+        contexts = _contexts(_to_texts(texts, lists, "inner"), length, CELL - 1 if crowded else 0)
         if crowded:
             parts.append(_spans_by_hash(contexts, length))
         else:
