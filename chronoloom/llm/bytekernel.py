@@ -6,6 +6,8 @@ offsets, and words, hashes and windows are index arrays into it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -72,6 +74,13 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         a = b
 
 
+def release_memory() -> None:
+    """Give freed memory back: Python workers live on between stages, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words(NamedTuple):
     lower: np.ndarray  # the bytes, A-Z lower-cased
     space: np.ndarray

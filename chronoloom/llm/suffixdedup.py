@@ -22,11 +22,13 @@ GROUP_LIMIT = 1024
 #: Neighbouring starts of a crowded anchor that are looked at together.
 CELL = 16
 #: Bytes of contexts that one transform holds.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: Tables of positions up to this size are broadcast to the texts; larger ones meet them by shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
 BATCH_ROWS = 1000
+#: Bytes of texts in index arrays at once.
+TEXT_BYTES = 1 << 19
 #: Starts handled at once in a long document.
 _STRIDE = 1 << 21
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -191,10 +193,11 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, off = bk.text_buffers(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for x, y in bk.doc_chunks(off):
+            for x, y in bk.doc_chunks(off, TEXT_BYTES):
                 doc, lo, cnt, a, c = anchors(data[off[x] : off[y]], off[x : y + 1] - off[x], length)
                 row = doc + x
                 yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((lo - (off[row] - off[x])).astype(np.int32)), pa.array(cnt.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=_ANCHORS.names)
+        bk.release_memory()
 
     return texts.mapInArrow(run, _ANCHORS)
 
@@ -226,7 +229,7 @@ def _contexts(joined: DataFrame, length: int, pad: int = 0) -> DataFrame:
             n, (anchor, los, cnts) = _places(batch, ["a", "lo", "cnt"])
             first = np.concatenate([[0], np.cumsum(n)])
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in bk.doc_chunks(off):
+            for a, b in bk.doc_chunks(off, TEXT_BYTES):
                 mine = slice(first[a], first[b])
                 lo, cnt = los[mine], cnts[mine]
                 base = np.repeat(off[a:b] - off[a], n[a:b])
@@ -236,6 +239,7 @@ def _contexts(joined: DataFrame, length: int, pad: int = 0) -> DataFrame:
                 ends = np.minimum(base + lo + cnt + length - 1 + pad, stop)
                 body = [raw[s:e] for s, e in zip((base + lo - left).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(np.repeat(own[a:b], n[a:b])), pa.array(lo), pa.array(cnt), pa.array(body, pa.binary()), pa.array(left.astype(np.int32))], names=_CONTEXTS.names)
+        bk.release_memory()
 
     return joined.mapInArrow(run, _CONTEXTS)
 
@@ -266,6 +270,7 @@ def _spans_by_transform(contexts: DataFrame, length: int) -> DataFrame:
                 size += len(row[4])
         if held:
             yield solve(held)
+        bk.release_memory()
 
     return contexts.mapInArrow(run, _SPANS)
 
@@ -427,10 +432,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, off = bk.text_buffers(batch.column(1))
             n, (begins, ends) = _places(batch, ["s", "e"])
             first = np.concatenate([[0], np.cumsum(n)])
-            for a, b in bk.doc_chunks(off):
+            for a, b in bk.doc_chunks(off, TEXT_BYTES):
                 mine = slice(first[a], first[b])
                 base = np.repeat(off[a:b] - off[a], n[a:b])
                 s, e = begins[mine], ends[mine]
                 yield left(batch.column(0).slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a], base + s, base + e)
+        bk.release_memory()
 
     return joined.mapInArrow(run, out)
