@@ -98,7 +98,10 @@ def _draw(sources: DataFrame, block: int, seed: int) -> DataFrame:
 
     counts = counts.withColumn("count", F.greatest(end(F.col("upto")) - end(F.col("from")), F.lit(0).cast("long")))
     earlier = F.sum("count").over(W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.withColumn("base", F.coalesce(earlier, F.lit(0).cast("long")))
+    counts = counts.withColumn("base", F.coalesce(earlier, F.lit(0).cast("long"))).select("skey", "shard", "blocks", "count", "base")
+    # a row here stands for a shard's slots of a source: spread them before they are unfolded
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.repartition(parts, "skey", "shard")
     slots = counts.where("count > 0").select("skey", "blocks", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("count") - 1)).alias("k"))
     slots = slots.where(F.col("k") < CAP * F.col("blocks")).withColumn("turn", F.expr("k div blocks"))
     coprime = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("blocks") % p != 0)
@@ -130,7 +133,8 @@ def plan_mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = 11) -> Mix:
         F.coalesce(F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("local"),
     )
     docs = numbered.join(offsets, ["skey", "chunk"]).select("row", "skey", "size", "chunk", "n", (F.col("base") + F.col("local")).alias("start"))
-    return Mix(docs, sources, _draw(sources, block, seed), block)
+    # written, so that its size is known: an estimate from the few rows of sources would broadcast it
+    return Mix(docs, sources, written(_draw(sources, block, seed), "mix-drawn"), block)
 
 
 def pieces(mix: Mix) -> DataFrame:
@@ -177,9 +181,15 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
     parts = parts.select(F.col("row.a").alias("__a"), F.col("row.b").alias("__b"), "__parts")
     unique = keyed.select(*columns, F.col("__row.a").alias("__a"), F.col("__row.b").alias("__b")).dropDuplicates(["__a", "__b"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    taken = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(CAP)), lambda turn: F.flatten(F.transform(
-        F.filter("__parts", lambda p: p["times"] >= turn), lambda p: F.slice(F.col("__words"), (p["at"] + 1).cast("int"), p["words"].cast("int"))))))
-    out = unique.join(parts, ["__a", "__b"]).withColumn("__words", words).withColumn(text_col, F.array_join(taken, " "))
+
+    def taken(w: Column) -> Column:
+        def turn(t: Column) -> Column:
+            return F.flatten(F.transform(F.filter("__parts", lambda p: p["times"] >= t), lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int"))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.array_max("__parts.times").cast("int")), turn))
+
+    # bound as a lambda's argument, the words are split once and not for every slice of them
+    out = unique.join(parts, ["__a", "__b"]).withColumn(text_col, F.array_join(F.element_at(F.transform(F.array(words), taken), 1), " "))
     if length_col in columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*columns)
