@@ -23,7 +23,8 @@ GROUP_LIMIT = 1024
 CELL = 16
 #: Bytes of contexts that one transform holds.
 SHARD_BYTES = 1 << 18
-#: Tables of positions up to this size are broadcast to the texts; larger ones meet them by shuffle.
+#: Lists of spans up to this size are broadcast to the texts; larger ones meet them by shuffle. The lists of
+#: contexts for the transforms are the longest and always do, so that memory and disk follow the input.
 BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
 BATCH_ROWS = 1000
@@ -202,15 +203,18 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, _ANCHORS)
 
 
-def _to_texts(texts: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
-    """Join lists of places to the texts: without moving the texts if the lists are small."""
+def _to_texts(texts: DataFrame, by_doc: DataFrame, how: str, may_broadcast: bool) -> DataFrame:
+    """Join lists of places to the texts, where allowed without moving the texts if the lists are small."""
     fields = [f.name for f in by_doc.schema["places"].dataType.elementType.fields]
-    size = by_doc.agg(F.sum(F.size("places")), F.count("*")).first()
-    small = 8 * len(fields) * (size[0] or 0) + 128 * size[1] <= BROADCAST_BYTES
     # an array of structs takes 16 bytes more by element than an array by field
     flat = by_doc.select("key", *[F.col(f"places.{f}").alias(f) for f in fields])
-    joined = texts.join(F.broadcast(flat) if small else flat, "key", how)
-    return joined.select(*texts.columns, *fields)
+    if may_broadcast:
+        size = by_doc.agg(F.sum(F.size("places")), F.count("*")).first()
+        if 8 * len(fields) * (size[0] or 0) + 128 * size[1] <= BROADCAST_BYTES:
+            flat = F.broadcast(flat)
+    else:
+        flat = flat.hint("merge")
+    return texts.join(flat, "key", how).select(*texts.columns, *fields)
 
 
 def _places(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -359,7 +363,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int =
     parts = [whole]
     for crowded in (False, True):
         lists = by_doc.where(F.col("crowded") == crowded).select("key", "places")
-        contexts = _contexts(_to_texts(texts, lists, "inner"), length, CELL - 1 if crowded else 0)
+        contexts = _contexts(_to_texts(texts, lists, "inner", may_broadcast=crowded), length, CELL - 1 if crowded else 0)
         if crowded:
             parts.append(_spans_by_hash(contexts, length))
         else:
@@ -408,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     conf.set(name, str(min(BATCH_ROWS, int(conf.get(name)) if int(conf.get(name)) > 0 else BATCH_ROWS)))
     texts = keyed_texts(docs, id_col, text_col)
     by_doc = written(_merged(repeated_spans(texts.select("key", "text"), length, group_limit)), "spans")
-    joined = _to_texts(texts, by_doc, "left").select("own", "text", "s", "e")
+    joined = _to_texts(texts, by_doc, "left", may_broadcast=True).select("own", "text", "s", "e")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def left(own: pa.Array, data: np.ndarray, off: np.ndarray, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
