@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +165,12 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, size: int = 3, id_co
     """
     rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
-    roots = written(connected_components(links(distinct.select("fp"), radius)), "roots")
+    return name_groups(rows, distinct, links(distinct.select("fp"), radius))
+
+
+def name_groups(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, fp, component)`` of ``rows(id, fp)``, from ``distinct(fp, least)`` and edges ``(u, v)`` between fingerprints."""
+    roots = written(connected_components(edges), "roots")
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = written(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
@@ -173,15 +178,15 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, size: int = 3, id_co
     return rows.join(names, "fp").select("id", "fp", "component")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = near_duplicate_groups, **options) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group, that of the smallest id.
 
-    Null ids count as larger than any; of rows equal in every column one stays.
+    ``groups_of`` is given the options and says what a group is. Null ids count as larger than any; of rows equal in every column one stays.
     """
     columns = docs.columns
     last = F.lit((1 << 63) - 1)
     name = F.struct(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(*columns).alias("row"))
-    groups = written(near_duplicate_groups(docs.select(name.alias("name"), F.col(text_col).alias("text")), radius, size, "name", "text"), "groups")
+    groups = written(groups_of(docs.select(name.alias("name"), F.col(text_col).alias("text")), id_col="name", text_col="text", **options), "groups")
     kept = groups.where("id = component").groupBy(F.col("id.row").alias("__row")).agg(F.count("*").alias("n"))
     kept = written(kept, "kept")
     keyed = docs.withColumn("__row", F.xxhash64(*columns)).join(broadcast_if_small(kept.select("__row"), 24), "__row", "left_semi")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from chronoloom.llm import bytekernel as bk
-from chronoloom.llm import components, decontam, ftrl, langid, mixing, queries, simhash, suffixdedup, tokenbin, topk, toxicity, urlfilter, warc
+from chronoloom.llm import components, decontam, ftrl, langid, mixing, neardup, queries, simhash, suffixdedup, tokenbin, topk, toxicity, urlfilter, warc
 from chronoloom.llm.storage import fresh_path
 from pyspark.sql import functions as F
 
@@ -224,6 +224,54 @@ def test_simhash_empty_and_keep_one(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "9", "None"]
 
 
+def five_word_sets(texts):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in split]
+
+
+@pytest.mark.parametrize("reach", [32, 1])
+def test_similar_groups_match_brute_force(spark, reach):
+    r = random.Random(8)
+    texts = [None, "", "one", "One", "two words", words(400, 9)]
+    for seed, copies in ((1, 25), (2, 6), (3, 1)):
+        base = words(150, seed).split()
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randrange(7)):
+                w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+            texts.append(" ".join(w))
+    sets = five_word_sets(texts)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = neardup.similar_groups(documents(spark, list(enumerate(texts))), reach=reach).collect()
+    assert {x.id: x.component for x in got} == {i: find(i) for i in range(len(texts))}
+
+
+def test_pipeline_removes_loose_copies(spark, tiny):
+    import corpus_pipeline as cp
+
+    base = words(200, 3).split()
+    loose = [*base[:60], "changed", *base[61:140], "other", *base[141:]]  # similarity 0.90
+    a, b = simhash.fingerprint_buffers(*text_arrays([" ".join(base), " ".join(loose)]))
+    assert (int(a) ^ int(b)).bit_count() > 2
+    docs = documents(spark, [(4, " ".join(loose)), (2, " ".join(base)), (3, words(200, 4))])
+    assert sorted(x.doc_id for x in cp.near_dedup(spark, docs, tiny).collect()) == [2, 3]
+
+
+def text_arrays(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def test_bk_tree_within_radius():
     r = random.Random(2)
     values = {r.getrandbits(64) for _ in range(200)}
