@@ -171,13 +171,14 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
 
     Pass by pass, a document keeps the words of its blocks that the mix takes once, then those that
     it takes twice, then thrice; documents of which nothing is taken are left out. ``length_col``
-    is set to the new length. Rows that are equal in every column count once.
+    is set to the new length. Rows that are equal in every column are documents of their own.
     """
     columns = docs.columns
     keyed = docs.withColumn("__row", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")))
-    rows = keyed.select(F.col("__row").alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).distinct()
+    rows = keyed.select(F.col("__row").alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     mix = plan_mix(rows, block, seed)
-    parts = pieces(mix).where("times > 0").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("__parts"))
+    # a repeated row has parts for each of its places in the chunk, and its text is joined to each
+    parts = pieces(mix).where("times > 0").groupBy("row", "chunk", "n").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("__parts"))
     parts = parts.select(F.col("row.a").alias("__a"), F.col("row.b").alias("__b"), "__parts")
     unique = keyed.select(*columns, F.col("__row.a").alias("__a"), F.col("__row.b").alias("__b")).dropDuplicates(["__a", "__b"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))

@@ -348,6 +348,15 @@ def test_mixed_documents_have_the_taken_words(spark):
     assert mixing.mix_documents(documents(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_mixed_each(spark):
+    rows = [(i, words(150, i), "en", "ab"[i % 2]) for i in range(30)]
+    docs = documents(spark, [*rows, *rows, *rows])
+    taken = sum(r.taken for r in mixing.mix_sizes(docs).collect())
+    mixed = mixing.mix_documents(docs).collect()
+    assert abs(sum(len(r.text.split()) for r in mixed) - taken) < 0.1 * taken
+    assert max(Counter(r.doc_id for r in mixed).values()) > 1
+
+
 # --- 7: token files ------------------------------------------------------------------------------
 
 
