@@ -6,184 +6,308 @@ symbols, and for each document where its symbols begin, so that one document is
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytekernel as bk
+
 END_ID = 1
 SHARD_TOKENS = 1 << 19
 #: Texts are cut into pieces of about so many characters, at white space.
 PIECE_CHARS = 1 << 20
-CACHE_WORDS = 250_000
-MAGIC = b"RPG1"
-_HASH = 0x9E3779B97F4A7C15
+#: Bytes of texts whose words are looked up together, and about how many the cache of words may take. The
+#: cache lives as long as its Python worker, so that later tasks find the words of earlier ones.
+CHUNK_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
+MAGIC = b"RPG2"
+#: By how much the least count of replaced pairs falls from round to round.
+FALL = 32
 _SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType())])
-#: Characters for which a text is handed to the library whole: controls that ``str.split`` takes for
-#: white space and the tokenizer doesn't, and a letter whose lower case depends on its place.
-_ODD = re.compile("[\x1c-\x1f\u03a3<]")
 _TAIL = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Characters after which a text is encoded whole: Python takes them for white space, the tokenizer doesn't.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: White space beyond ASCII.
+_WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-class Encoder:
-    """Ids of whole texts through the tokenizers library, with a cache by word.
+def _by_words(config: dict) -> bool:
+    """Whether a vocabulary drops white space, lower-cases, and ends every word in a suffix."""
+    normal = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    cut = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        normal == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cut] == ["Split", "ByteLevel"] and config["normalizer"]["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+        and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in cut[0]["pattern"].get("Regex", "") and not cut[1]["use_regex"] and bool(config["model"].get("end_of_word_suffix"))
+    )
 
-    The vocabulary drops white space and never joins across it, so a text's ids are its words' ids
-    one after the other. A word of letters, with or without a run of ASCII punctuation after it, is
-    one or two pieces to the library's BPE model; any other word goes through the whole tokenizer,
-    and a text where cutting at white space might matter is encoded whole.
+
+class Encoder:
+    """Ids of whole texts through the tokenizers library, each different word once.
+
+    Where a vocabulary drops white space and never joins across it (``_by_words``), a text's ids are
+    its words' ids one after the other. Texts are lower-cased as the library does it, letter by letter;
+    the words of many texts are numbered by an Arrow dictionary, and only the different ones are
+    looked at here. A word of letters, with or without a run of ASCII punctuation after it, is one or
+    two pieces to the library's BPE model; any other word goes through the whole tokenizer. A text
+    that isn't in normal form C, or holds a special token or one of a few controls, is encoded whole,
+    and so is every text with any other kind of vocabulary.
     """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 0xFFFF else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        pieces = ByteLevel(add_prefix_space=False, use_regex=False)
-        # how the library writes each byte; every byte occurs in some valid text but for those that no text holds
-        self.byte_names = {b: pieces.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
-        for c in [chr(i) for i in range(0x80, 0x800)] + [chr(i << 12 | 0x0800 & 0xFFF) for i in range(16) if not 0xD <= i <= 0xD] + [chr(i << 16) for i in range(1, 17)]:
-            for byte, name in zip(c.encode(), pieces.pre_tokenize_str(c)[0][0], strict=True):
-                self.byte_names[byte] = name
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        config = json.loads(vocabulary)
+        self.by_words = _by_words(config)
+        self.odd = [*_CONTROLS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.cache: dict[str, bytes] = {}
+        self.cached = 0
+        if self.by_words:
+            # the model alone, for pieces that are written as the model has them
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            suffix, known = config["model"]["end_of_word_suffix"], self.tokenizer.get_vocab()
+            self.closes = np.zeros(max(known.values()) + 1, dtype=bool)
+            self.closes[[i for word, i in known.items() if word.endswith(suffix)]] = True
+            pieces = ByteLevel(add_prefix_space=False, use_regex=False)
+            # how the library writes each byte; every byte occurs in some valid text but for those that no text holds
+            self.byte_names = {b: pieces.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+            for c in [chr(i) for i in range(0x80, 0x800)] + [chr(i << 12 | 0x0800 & 0xFFF) for i in range(16) if not 0xD <= i <= 0xD] + [chr(i << 16) for i in range(1, 17)]:
+                for byte, name in zip(c.encode(), pieces.pre_tokenize_str(c)[0][0], strict=True):
+                    self.byte_names[byte] = name
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.new.get(piece) or self.old.get(piece)
-        if found is None:
-            names = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
-            found = array(self.code, [t.id for t in self.model.tokenize(names)]).tobytes()
-            self._keep(piece, found)
-        return found
-
     def _keep(self, word: str, ids: bytes) -> None:
-        """Two generations: when the younger is full the older goes; what is used again is kept again."""
-        if len(word) <= 64:
-            if len(self.new) >= CACHE_WORDS:
-                self.new, self.old = {}, self.new
-            self.new[word] = ids
-
-    def _word(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            core = word.rstrip(_TAIL)
-            if core.isalpha():
-                found = self._piece(core.lower())
-                if len(core) < len(word):
-                    found += self._piece(word[len(core) :])
-            else:
-                found = self._whole(word)
-        self._keep(word, found)
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return np.frombuffer(self._whole(text), dtype=self.kind)
-        out, at, miss = [], 0, self._word
-        while at < len(text):
-            stop = at + PIECE_CHARS
-            if stop < len(text):
+        self.cached += 180 + 2 * len(word) + len(ids)
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 180 + 2 * len(word) + len(ids)
+        self.cache[word] = ids
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, by the library's model."""
+        out: dict[str, bytes] = {}
+        width = self.kind.itemsize
+        for a in range(0, len(pieces), 512):
+            some = pieces[a : a + 512]
+            names = [p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_names) for p in some]
+            ids = np.array(self.model.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary does not end every word in its suffix")
+            raw = ids.astype(self.kind).tobytes()
+            ends *= width
+            out.update(zip(some, [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of different lower-cased words."""
+        split = []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            split.append((core, w[len(core) :]) if core.isalpha() else (w, None))
+        have = {p: self.cache[p] for pair in split for p in pair if p and p in self.cache}
+        new = self._pieces(list({p: None for pair in split if pair[1] is not None for p in pair if p and p not in have}))
+        new |= {w: self._whole(w) for w, tail in split if tail is None and w and w not in have}
+        for word, ids in new.items():
+            if len(word) <= 64:
+                self._keep(word, ids)
+        have |= new
+        have[""] = b""
+        return [have[core] + have[tail] if tail else have[core] for core, tail in split]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        rows: list[str] = []
+        owner: list[int] = []
+        whole: dict[int, bytes] = {}
+        for i, text in enumerate(texts):
+            if not self.by_words or not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(x in text for x in self.odd):
+                whole[len(rows)] = self._whole(text)
+                rows.append("")
+                owner.append(i)
+                continue
+            text = text.replace("\u03a3", "\u03c3").lower()  # the library knows no final sigma
+            at = 0
+            while at < len(text) or not at:
+                stop = at + PIECE_CHARS
                 while stop < len(text) and not text[stop].isspace():
                     stop += 1
-            for w in (text[at:stop] if at or stop < len(text) else text).split():
-                out.append(self.new.get(w) or miss(w))
-            at = stop
-        return np.frombuffer(b"".join(out), dtype=self.kind)
+                rows.append(text[at:stop] if at or stop < len(text) else text)
+                owner.append(i)
+                at = stop
+        column = pa.array(rows, pa.string())
+        # the quicker split knows ASCII alone
+        wide = pc.any(pc.match_substring_regex(column, _WIDE_SPACE)).as_py()
+        words = pc.utf8_split_whitespace(column) if wide else pc.ascii_split_whitespace(column)
+        numbered = words.flatten().dictionary_encode()
+        ids = self._words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
+        which = numbered.indices.to_numpy()
+        size = sizes[which]
+        stop = np.cumsum(size)
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        upto = np.concatenate([[0], stop])[words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()]
+        counts = np.diff(upto)
+        if whole:
+            parts, done = [], 0
+            for row, raw in whole.items():
+                parts += [out[done : upto[row]], np.frombuffer(raw, dtype=self.kind)]
+                done = upto[row]
+                counts[row] = len(raw) // width
+            out = np.concatenate([*parts, out[done:]])
+        return out, np.bincount(np.array(owner, dtype=np.int64), counts, minlength=len(texts)).astype(np.int64)
+
+
+def _occurrences(seq: np.ndarray, at: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, where each begins among the places, its count, places by pair) of the neighbours at ``at`` and after."""
+    a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    if narrow:  # pair and place share a word, so one sort does both
+        both = np.sort((a << np.uint64(16) | b) << np.uint64(32) | at.astype(np.uint64))
+        pair, place = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    else:
+        pair = a << np.uint64(32) | b
+        order = np.argsort(pair, kind="stable")
+        pair, place = pair[order], at[order]
+    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    return pair[begin], begin, np.diff(np.append(begin, len(pair))), place
+
+
+def _apart(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ``place`` (ascending) are replaced: none overlap, and of neighbours the
+    lower rank goes first; in a run of one rank every other one."""
+    kept = np.zeros(len(place), dtype=bool)
+    open_ = np.arange(len(place))
+    for _ in range(8):  # what is still open then waits for the next round
+        at, r = place[open_], rank[open_]
+        touch = np.diff(at) == 1
+        fresh = np.append(True, ~(touch & (r[1:] == r[:-1])))
+        since = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        now = since % 2 == 0
+        now[1:] &= ~(touch & (r[:-1] < r[1:]))
+        now[:-1] &= ~(touch & (r[1:] < r[:-1]))
+        kept[open_[now]] = True
+        beside = now.copy()
+        beside[1:] |= touch & now[:-1]
+        beside[:-1] |= touch & now[1:]
+        open_ = open_[~beside]
+        if not len(open_):
+            break
+    return kept
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = 2, least: int = 24, pairs_per_round: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, number of symbols before each document and in all, rules).
 
-    In each round the most frequent pairs of neighbours (at least ``least`` occurrences) become
-    nonterminals; pairs overlap nowhere and never cross the document ends ``ends``. Symbol
-    ``first_symbol + i`` stands for the pair ``rules[i]``.
+    Frequent pairs of neighbours become nonterminals again and again until no pair pays, that is
+    until none saves more bytes than its rule takes. A round replaces all pairs that occur at least as
+    often as a bar, the most frequent first where they overlap; the bar falls by a factor of FALL
+    until it is the least count that pays. From then on a round looks at pairs with a symbol of the
+    round before, and at all pairs where those give nothing. Pairs never cross the document ends
+    ``ends``. Symbol ``first_symbol + i`` stands for the pair ``rules[i]``. Symbols of 16 bits are
+    not widened for the sake of more rules: two bytes more for every symbol is more than the pairs
+    that are left save.
     """
-    # symbols below 2**16 make pairs of 32 bits, others of 64
-    wide = first_symbol >= 0x10000
-    half, kind = (32, np.uint64) if wide else (16, np.uint32)
-    limit = (1 << 32) if wide else 0x10000
-    seq = ids.astype(kind)
+    narrow = first_symbol < 0x10000
+    width, limit = (2, 0x10000) if narrow else (4, 1 << 32)
+    half = np.uint64(8 * width)
+    pays = (2 * width + 2) // width + 1
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), dtype=bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
-    top = first_symbol
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << kind(half)) | seq[1:]
+    top, mark, bar = first_symbol, 0, len(seq)
+    while top < limit and len(seq) > 1:
         inner = ~last[:-1]
-        k = np.sort(key[inner])
-        begin = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-        n = np.diff(np.append(begin, len(k)))
-        often = np.flatnonzero(n >= least) if len(k) else begin[:0]
-        room = min(pairs_per_round, limit - top)
-        often = often[np.argsort(-n[often], kind="stable")[:room]]
-        if not len(often):
-            break
-        # a table by a hash of the pair finds chosen pairs with one look; of two in a slot the rarer waits
-        chosen = k[begin[often]]
-        slot = (chosen * kind(_HASH >> (64 - 2 * half) | 1)) >> kind(2 * half - 16)
-        _, firsts = np.unique(slot, return_index=True)
-        chosen, slot = chosen[np.sort(firsts)], slot[np.sort(firsts)]
-        table = np.zeros(1 << 16, dtype=kind)
-        number = np.full(1 << 16, -1, dtype=np.int32)
-        table[slot], number[slot] = chosen, np.arange(len(chosen))
-        at = (key * kind(_HASH >> (64 - 2 * half) | 1)) >> kind(2 * half - 16)
-        hit = np.flatnonzero((table[at] == key) & (number[at] >= 0) & inner)
-        rank = number[at[hit]]
-        # of overlapping occurrences in a run, every other one counts
-        run_start = np.maximum.accumulate(np.where(np.append(True, np.diff(hit) > 1), np.arange(len(hit)), 0))
-        even = (np.arange(len(hit)) - run_start) % 2 == 0
-        hit, rank = hit[even], rank[even]
-        seq[hit] = (top + rank).astype(kind)
-        last[hit] = last[hit + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[hit + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], axis=1).astype(np.int64))
-        top += len(chosen)
+        if mark:
+            inner &= (seq[:-1] >= mark) | (seq[1:] >= mark)
+        pair, begin, count, place = _occurrences(seq, np.flatnonzero(inner), narrow)
+        bar = max(pays, min(bar, int(count.max(initial=0))) // FALL)
+        often = np.flatnonzero(count >= bar)
+        often = often[np.argsort(-count[often], kind="stable")[: limit - top]]
+        number = np.full(len(pair), -1, dtype=np.int64)
+        number[often] = np.arange(len(often))
+        rank = np.repeat(number, count)
+        at, rank = place[rank >= 0], rank[rank >= 0]
+        order = np.argsort(at)
+        at, rank = at[order], rank[order]
+        kept = _apart(at, rank)
+        at, rank = at[kept], rank[kept]
+        worth = np.bincount(rank, minlength=len(often)) >= pays
+        at, rank = at[worth[rank]], rank[worth[rank]]
+        if not len(at):
+            if bar == pays and not mark:
+                break
+            mark = 0
+            continue
+        seq[at] = top + (np.cumsum(worth) - 1)[rank]
+        last[at] = last[at + 1]
+        stay = np.ones(len(seq), dtype=bool)
+        stay[at + 1] = False
+        seq, last = seq[stay], last[stay]
+        chosen = pair[often[worth]]
+        rules.append(np.stack([chosen >> half, chosen & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.int64))
+        mark, top = top if bar == pays else 0, top + len(chosen)
     starts = np.concatenate([[0], np.flatnonzero(last) + 1])
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
+def levels(rules: np.ndarray, first_symbol: int) -> list[np.ndarray]:
+    """Rules by depth: those of a level are made of terminals and of rules of the levels before."""
+    ready = np.zeros(first_symbol + len(rules), dtype=bool)
+    ready[:first_symbol] = True
+    out, left = [], np.arange(len(rules))
+    while len(left):
+        now = ready[rules[left, 0]] & ready[rules[left, 1]]
+        if not now.any():
+            raise ValueError("rules refer to each other in a circle")
+        out.append(left[now])
+        ready[first_symbol + left[now]] = True
+        left = left[~now]
+    return out
+
+
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     lengths = np.ones(first_symbol + len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[first_symbol + i] = lengths[a] + lengths[b]
+    for level in levels(rules, first_symbol):
+        lengths[first_symbol + level] = lengths[rules[level, 0]] + lengths[rules[level, 1]]
     return lengths
 
 
-def pack(ids: np.ndarray, ends: np.ndarray, first_symbol: int, **options) -> bytes:
+def _width(values: np.ndarray) -> int:
+    return 2 if values.max(initial=0) <= 0xFFFF else 4
+
+
+def pack(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> bytes:
     """The container of one shard; ``ends`` has where each document ends in ``ids``."""
-    symbols, starts, rules = compress(ids, ends, first_symbol, **options)
+    symbols, starts, rules = compress(ids, ends, first_symbol)
     lengths = expansion_lengths(rules, first_symbol)[first_symbol:]
-    kind = np.dtype("<u2") if first_symbol + len(rules) <= 0x10000 else np.dtype("<u4")
-    head = struct.pack("<4sBIIII", MAGIC, kind.itemsize, first_symbol, len(rules), len(ends), len(symbols))
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), symbols.astype(kind).tobytes()])
+    wide, long = 2 if first_symbol + len(rules) <= 0x10000 else 4, _width(lengths)
+    head = struct.pack("<4sBBIIII", MAGIC, wide, long, first_symbol, len(rules), len(ends), len(symbols))
+    return b"".join([head, starts.astype("<u4").tobytes(), rules.astype(f"<u{wide}").tobytes(), lengths.astype(f"<u{long}").tobytes(), symbols.astype(f"<u{wide}").tobytes()])
 
 
 class Shard:
     """A container opened for reading."""
 
     def __init__(self, body: bytes) -> None:
-        magic, width, self.first_symbol, n_rules, self.n_docs, n_symbols = struct.unpack_from("<4sBIIII", body)
+        magic, wide, long, self.first_symbol, n_rules, self.n_docs, n_symbols = struct.unpack_from("<4sBBIIII", body)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        at = struct.calcsize("<4sBIIII")
+        at = struct.calcsize("<4sBBIIII")
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -191,20 +315,22 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = np.concatenate([np.ones(self.first_symbol, np.int64), take("<u4", n_rules).astype(np.int64)])
+        first = self.first_symbol
         self.starts = take("<u4", self.n_docs + 1).astype(np.int64)
-        self.symbols = take(f"<u{width}", n_symbols).astype(np.int64)
+        self.rules = take(f"<u{wide}", 2 * n_rules).reshape(-1, 2).astype(np.int64)
+        self.lengths = np.concatenate([np.ones(first, np.int64), take(f"<u{long}", n_rules).astype(np.int64)])
+        self.symbols = take(f"<u{wide}", n_symbols).astype(np.int64)
         # all expansions of nonterminals one after the other; a terminal is its own
-        self.flat_at = np.zeros(self.first_symbol + n_rules, dtype=np.int64)
-        self.flat_at[: self.first_symbol] = np.arange(self.first_symbol)
-        self.flat_at[self.first_symbol :] = self.first_symbol + np.concatenate([[0], np.cumsum(self.lengths[self.first_symbol :])[:-1]]) if n_rules else 0
-        self.flat = np.empty(self.first_symbol + int(self.lengths[self.first_symbol :].sum()), dtype=np.uint32)
-        self.flat[: self.first_symbol] = np.arange(self.first_symbol)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            p, na, nb = self.flat_at[self.first_symbol + i], self.lengths[a], self.lengths[b]
-            self.flat[p : p + na] = self.flat[self.flat_at[a] : self.flat_at[a] + na]
-            self.flat[p + na : p + na + nb] = self.flat[self.flat_at[b] : self.flat_at[b] + nb]
+        self.flat_at = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.empty(int(self.lengths.sum()), dtype=np.uint32)
+        self.flat[:first] = np.arange(first)
+        for level in levels(self.rules, first):
+            for side in (0, 1):
+                symbol = self.rules[level, side]
+                n = self.lengths[symbol]
+                to = self.flat_at[first + level] + (self.lengths[self.rules[level, 0]] if side else 0)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                self.flat[np.repeat(to, n) + step] = self.flat[np.repeat(self.flat_at[symbol], n) + step]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
@@ -250,40 +376,45 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, id_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary.value)
         first = enc.tokenizer.get_vocab_size()
-        tail = np.array([end_id], dtype=enc.kind)
         ids: list[np.ndarray] = []
-        doc_ids: list[int | None] = []
-        sizes: list[int] = []
-        part, seq, start = 0, 0, 0
+        doc_ids: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+        part, seq, start, held = 0, 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal seq, start
-            body = pack(np.concatenate(ids), np.cumsum(sizes), first)
-            n = sum(sizes)
+            nonlocal seq, start, held
+            body = pack(np.concatenate(ids), np.cumsum(np.concatenate(sizes)), first)
+            own = pa.concat_arrays(doc_ids)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([body], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([body], pa.binary())],
                 names=_SCHEMA.names,
             )
-            seq, start = seq + 1, start + n
+            seq, start, held = seq + 1, start + held, 0
             ids.clear(), doc_ids.clear(), sizes.clear()
             return out
 
-        held = 0
         for batch in batches:
             if not len(batch):
                 continue
             part = batch.column(2)[0].as_py()
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                got = enc.encode(text.as_py())
-                ids += [got, tail]
-                doc_ids.append(doc_id.as_py())
-                sizes.append(len(got) + 1)
-                held += len(got) + 1
-                if held >= shard_tokens:
-                    yield shard()
-                    held = 0
+            _, off = bk.text_buffers(batch.column(1))
+            for a, b in bk.doc_chunks(off, CHUNK_BYTES):
+                got, n = enc.encode(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).tolist())
+                got, n = np.insert(got, np.cumsum(n), end_id), n + 1
+                stop = np.cumsum(n)
+                done, x = 0, 0
+                while x < b - a:  # a shard ends with the document that fills it
+                    y = min(int(np.searchsorted(stop, done + shard_tokens - held)) + 1, b - a)
+                    ids.append(got[done : stop[y - 1]])
+                    sizes.append(n[x:y])
+                    doc_ids.append(batch.column(0).slice(a + x, y - x))
+                    held += int(stop[y - 1]) - done
+                    done, x = int(stop[y - 1]), y
+                    if held >= shard_tokens:
+                        yield shard()
         if sizes:
             yield shard()
+        bk.release_memory()
 
     ordered.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(path)
 
@@ -310,5 +441,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 base = offsets.value[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py()
                 yield pa.RecordBatch.from_arrays([batch.column(3).slice(i, 1).flatten(), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+        bk.release_memory()
 
     return shards.select("part", "start", "n_tokens", "doc_ids", "body").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -386,17 +387,76 @@ def test_token_files_round_trip(spark):
     assert tokenbin.read_tokens(spark, empty).count() == 0
 
 
+def test_ids_are_the_librarys_on_every_code_point_and_on_mixtures():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    t, enc = Tokenizer.from_file(path), tokenbin.Encoder(open(path, encoding="utf-8").read())
+    assert enc.by_words
+    points = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cs", "Cn", "Co")]
+    texts = ["".join(f"a{c}b {c}x{c} " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    r = random.Random(4)
+    odd = [*"abcXYZ09 \t\n.,!'-<|>@_", "\u0130", "\u03a3", "\u03c3", "\u0301", "\u0307", "\u0323", "\u00e9", "\u1e9e", "\u00df", "\u4e2d", "\u3000", "\u0085", "\u200b", "\u01c5", "\U0001f600", "don't", "<|endoftext|>", "\x1c"]
+    texts += ["".join(r.choices(odd, k=r.randint(0, 40))) for _ in range(6000)] + ["\u0130stanbul", "", " ", "x" * 3000, "\u0130" * 50]
+    got, n = enc.encode(texts)
+    stop = np.cumsum(n)
+    want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert all(got[b - k : b].tolist() == w for b, k, w in zip(stop.tolist(), n.tolist(), want, strict=True))
+
+
+def test_a_text_longer_than_pieces_and_a_small_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    monkeypatch.setattr(tokenbin, "PIECE_CHARS", 37)
+    monkeypatch.setattr(tokenbin, "CACHE_BYTES", 4000)
+    enc = tokenbin.Encoder(open(path, encoding="utf-8").read())
+    texts = [words(4000, 5), "ab" * 200, "", " \t", words(30, 6) + "\n" * 90 + "Tail."]
+    for _ in range(2):
+        got, n = enc.encode(texts)
+        assert got.tolist() == [i for x in texts for i in Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids] and len(n) == 5
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path("byte_bpe_50k.json")
+    enc = tokenbin.Encoder(open(path, encoding="utf-8").read())
+    got, n = enc.encode(["Hello  World", "", "x"])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(["Hello  World", "", "x"], add_special_tokens=False)]
+    assert not enc.by_words and got.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
 @pytest.mark.parametrize("first", [300, 70000])
 def test_grammar_random_access(first):
     r = np.random.default_rng(3)
-    docs = [r.integers(0, 12, n) for n in (1, 5, 400, 3000, 1)] + [np.zeros(999, int)]
+    passage = r.integers(0, 200, 300)
+    docs = [r.integers(0, 12, n) for n in (1, 5, 400, 3000, 1)] + [np.zeros(999, int)] + [np.append(r.integers(0, 200, 50), passage) for _ in range(20)]
     ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    body = tokenbin.pack(ids, ends, first, rounds=6, least=4)
+    body = tokenbin.pack(ids, ends, first)
     s = tokenbin.Shard(body)
-    assert len(s.rules) > 10 and len(s.symbols) < len(ids) / 2
+    assert len(s.rules) > 10 and len(s.symbols) < len(ids) / 2 and len(body) < len(ids) * (1 if first == 300 else 2)
+    assert s.lengths.max() > 100  # the copied passage is a few nonterminals
     assert all((s.document(i) == d).all() for i, d in enumerate(docs))
     flat, e = s.documents()
     assert (flat == ids).all() and (e == ends).all()
+    # no pair is left that pays
+    pays = 4 if first == 300 else 3
+    inside = np.ones(len(s.symbols), bool)
+    inside[s.starts[1:] - 1] = False
+    left = Counter()
+    at = -1
+    for i in np.flatnonzero(inside).tolist():
+        pair = (int(s.symbols[i]), int(s.symbols[i + 1]))
+        if pair[0] != pair[1] or at != i - 1:  # of a run of one symbol every other pair counts
+            left[pair] += 1
+            at = i
+    assert max(left.values()) < pays + 2
+
+
+def test_grammar_of_nothing_and_of_one_id():
+    s = tokenbin.Shard(tokenbin.pack(np.array([1]), np.array([1]), 300))
+    assert s.document(0).tolist() == [1] and len(s.rules) == 0
 
 
 # --- 8: top-k ------------------------------------------------------------------------------------
