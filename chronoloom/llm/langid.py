@@ -19,8 +19,9 @@ ORDERS = 3
 FEATURES = 1 << 15
 #: Features are term frequencies times this, so that steps have a usual size.
 SCALE = 30.0
-#: Bounds of the sample that the weights are fitted on; document frequencies cover all learnable rows.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 700, 256
+#: Bounds of the sample that the weights are fitted on, for each language: rows, and bytes of text; but at
+#: least so many rows. Document frequencies cover all learnable rows.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES, LEAST_ROWS = 700, 8 << 20, 8
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -91,6 +92,7 @@ def _document_frequency(rows: DataFrame) -> tuple[int, np.ndarray]:
         total[FEATURES] = 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["f", "n"])
+        bk.release_memory()
 
     got = rows.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows at most
     out = np.zeros(FEATURES + 2)
@@ -112,6 +114,7 @@ def _sample_rows(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 idx.append(f.astype(np.uint16).tobytes())
                 val.append((n / max(n.sum(), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["lang", "idx", "val"])
+        bk.release_memory()
 
     got = rows.select("text", "lang").mapInArrow(run, "lang string, idx binary, val binary").collect()
     out = [(r["lang"], np.frombuffer(bytes(r["idx"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r["val"]), np.float32).astype(float)) for r in got]
@@ -141,26 +144,27 @@ class LanguageModel:
         return np.where(letter, best, -1), np.where(letter, p[np.arange(len(p)), best], 0.0)
 
 
-def fit(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, epochs: int = 3, l1: float = 0.02, l2: float = 0.001) -> LanguageModel | None:
+def fit(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_PER_LANGUAGE, text_bytes: int = SAMPLE_BYTES, epochs: int = 3, l1: float = 0.02, l2: float = 0.001) -> LanguageModel | None:
     """Learn from ``docs(id, text, lang)`` where ``learnable`` and lang is not null; None if there is nothing.
 
-    Document frequencies count every learnable row. The weights are fitted on a sample of about
-    ``per_language`` rows of each of the ``max_languages`` most frequent languages, chosen by a hash
-    of the id and the text; every fifth sampled row is kept back to fit the temperature.
+    Document frequencies count every learnable row, and every value of lang is learned: the model takes
+    128 KB for each. The weights are fitted on a sample of about ``per_language`` rows of a language,
+    fewer (down to LEAST_ROWS) if those have more than ``text_bytes`` of text, chosen by a hash of the
+    id and the text; every fifth sampled row is kept back to fit the temperature.
     """
     rows = docs.where(learnable & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language
     if not counts:
         return None
     languages = tuple(sorted(r["lang"] for r in counts))
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))).otherwise(rate)
+    number = {lang: i for i, lang in enumerate(languages)}
+    wanted = {r["lang"]: max(LEAST_ROWS, min(per_language, text_bytes * r["n"] // max(r["bytes"] or 0, 1))) / r["n"] for r in counts}
+    rates = docs.sparkSession.createDataFrame(list(wanted.items()), "lang string, rate double")
     unit = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = _sample_rows(rows.where(unit < rate))
+    sample = _sample_rows(rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")))
     n_docs, df = _document_frequency(rows.select("text"))
     idf = np.where(df > 0, np.log((1 + n_docs) / (1 + df)) + 1.0, 0.0) * SCALE
-    data: list[Row] = [(idx, val * idf[idx], languages.index(lang)) for lang, idx, val in sample]
+    data: list[Row] = [(idx, val * idf[idx], number[lang]) for lang, idx, val in sample]
     if len(languages) == 1:
         return LanguageModel(languages, np.zeros((1, FEATURES + 1), np.float32), np.zeros(1), 1.0)
     held = data[::5] if len(data) >= 50 else []
@@ -190,6 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 scores[a:b] = score
                 names[a:b] = [m.languages[i] if i >= 0 else UNDETERMINED for i in best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
+        bk.release_memory()
 
     return source.mapInArrow(run, schema)
 
@@ -232,5 +237,6 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 best, score = m.score_buffers(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 keep[a:b] = (best >= 0) & (score > least)
             yield batch.filter(pa.array(keep))
+        bk.release_memory()
 
     return docs.mapInArrow(run, docs.schema)
