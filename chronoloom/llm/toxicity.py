@@ -16,8 +16,8 @@ from .ftrl import Ftrl, Row, platt
 from .langid import learnable
 
 FEATURES = 1 << 20
-#: Bound of the labelled sample, by class.
-SAMPLE_PER_CLASS = 4000
+#: Bounds of the labelled sample, by class: rows, and bytes of text; but at least so many rows.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, LEAST_ROWS = 4000, 24 << 20, 64
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -86,16 +86,17 @@ def _features(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
                 u = np.unique(np.concatenate(grams))
                 out.append(u[u < FEATURES].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["y", "f"])
+        bk.release_memory()
 
     got = [(r["y"], bytes(r["f"])) for r in rows.select("text", "y").mapInArrow(run, "y int, f binary").collect()]
     return [(y, np.frombuffer(f, np.int32).astype(np.int64)) for y, f in sorted(got)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, epochs: int = 2, l1: float = 4.0) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, text_bytes: int = SAMPLE_BYTES, epochs: int = 2, l1: float = 4.0) -> ToxicityModel | None:
     """Learn from ``docs(id, text)`` and ``labels(id, y)`` (one row per id, y 0 or 1); None without labels.
 
-    A sample of about ``per_class`` labels of each class is chosen by a hash of the id and only its
-    texts are gathered. Every fifth is kept back, and a logistic fit to those, weighted by the classes'
+    A sample of about ``per_class`` labels of each class is chosen by a hash of the id, fewer (down to
+    LEAST_ROWS) if their texts have more than ``text_bytes``, and only its texts are gathered. Every fifth is kept back, and a logistic fit to those, weighted by the classes'
     shares among all labels, turns the model's sums into probabilities.
     """
     counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -104,10 +105,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, e
     unit = F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = {y: min(1.0, per_class / n) for y, n in counts.items()}
     rate = F.when(F.col("y") == 1, rates.get(1, 0.0)).otherwise(rates.get(0, 0.0))
-    # at most 4 * per_class pairs of an id and a class: bounded, whatever the corpus
-    chosen = labels.where(unit < rate).limit(4 * per_class).select("id", "y").collect()
+    # about 2 * per_class pairs of an id and a class, whatever the corpus
+    chosen = labels.where(unit < rate).select("id", "y").collect()
     chosen = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in chosen], T.StructType([docs.schema["id"], T.StructField("y", T.IntegerType())]))
-    rows: list[Row] = [(f, np.full(len(f), 1.0), y) for y, f in _features(docs.join(F.broadcast(chosen), "id"))]
+    sample = docs.join(F.broadcast(chosen), "id").select("id", "text", "y")
+    for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect():
+        if (r["bytes"] or 0) > text_bytes:
+            share = max(LEAST_ROWS / r["n"], text_bytes / r["bytes"])
+            rates[r["y"]] *= min(1.0, share)
+            sample = sample.where((F.col("y") != r["y"]) | (unit < rates[r["y"]]))
+    rows: list[Row] = [(f, np.full(len(f), 1.0), y) for y, f in _features(sample)]
     if not rows:
         return None
     held = rows[::5] if len(rows) >= 50 else []
@@ -135,6 +142,7 @@ def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             for a, b in bk.doc_chunks(off) if model else ():
                 scores[a:b] = score_buffers(table, model.bias, data[off[a] : off[b]], off[a : b + 1] - off[a])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
+        bk.release_memory()
 
     return source.mapInArrow(run, schema)
 
