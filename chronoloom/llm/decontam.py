@@ -18,20 +18,22 @@ from . import bytekernel as bk
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Fingerprints of windows and items link at so many differing bits or fewer.
-RADIUS = 24
+RADIUS = 15
+BLOCKS, BLOCK_BITS = 4, 16
 #: Benchmark text that one pass over the documents is compared with (it is broadcast).
 BLOCK_BYTES = 8 << 20
-_BYTE_DISTANCE = np.array([[(a ^ b).bit_count() for b in range(256)] for a in range(256)], dtype=np.uint8)
+_ONES = np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint16))
 
 Hit = tuple[int, int, int, int, int, float]  # document, item, first word, words, differing bits, similarity
 
 
 @dataclass
 class SizeGroup:
-    """The items of one number of words, as a multi-index over 8-bit blocks of their fingerprints.
+    """The items of one number of words, as a multi-index over 16-bit blocks of their fingerprints.
 
-    A fingerprint within RADIUS of an item's differs in at most RADIUS // 8 bits in one of the eight
-    blocks, so looking up each block's byte finds every item within the radius.
+    A fingerprint within the radius of an item's differs in at most radius // 4 bits in one of the
+    four blocks. Each block has a table of the items by its value; looking up all values so near
+    finds every item within the radius. Of unrelated fingerprints about 4 in 100 meet at radius 15.
     """
 
     words: int
@@ -42,17 +44,35 @@ class SizeGroup:
     radius: int = RADIUS
 
     def __post_init__(self) -> None:
-        parts = self.prints.view(np.uint8).reshape(-1, 8)
-        self.near = np.stack([_BYTE_DISTANCE[:, parts[:, k]] <= self.radius // 8 for k in range(8)])
         self.shingles = self.words - self.shingle + 1
+        masks = np.flatnonzero(_ONES <= self.radius // BLOCKS).astype(np.uint16)
+        parts = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+        self.order = np.argsort(parts, axis=0, kind="stable")
+        self.begin = np.stack([np.searchsorted(np.sort(parts[:, k]), np.arange((1 << BLOCK_BITS) + 1)) for k in range(BLOCKS)])
+        # which values have an item so near; most windows end here
+        self.near = np.zeros((BLOCKS, 1 << BLOCK_BITS), dtype=bool)
+        for k in range(BLOCKS):
+            for value in np.unique(parts[:, k]):
+                self.near[k][masks ^ value] = True
+        self.masks = masks
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, position in the group, distance) of all pairs within the radius."""
-        parts = prints.view(np.uint8).reshape(-1, 8)
-        maybe = np.zeros((len(prints), len(self.items)), dtype=bool)
-        for k in range(8):
-            maybe |= self.near[k][parts[:, k]]
-        w, i = np.nonzero(maybe)
+        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+        found = [np.zeros(0, np.int64)]
+        for k in range(BLOCKS):
+            asked = np.flatnonzero(self.near[k][parts[:, k]])
+            for a in range(0, len(asked), 1024):
+                some = asked[a : a + 1024]
+                values = (parts[some, k][:, None] ^ self.masks).ravel()
+                begin = self.begin[k][values]
+                n = self.begin[k][values.astype(np.int64) + 1] - begin
+                hit = np.flatnonzero(n)
+                n, begin = n[hit], begin[hit]
+                at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.repeat(some[hit // len(self.masks)], n) * len(self.items) + self.order[at, k])
+        pair = np.unique(np.concatenate(found))
+        w, i = pair // len(self.items), pair % len(self.items)
         d = np.bitwise_count(prints[w] ^ self.prints[i])
         ok = d <= self.radius
         return w[ok], i[ok], d[ok]
@@ -85,6 +105,7 @@ class ItemIndex:
         self.size, self.threshold = size, threshold
         by_words: dict[int, list[tuple[int, int, Counter]]] = {}
         hashes: dict[int, list[np.ndarray]] = {}
+        self.hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i, text in enumerate(texts):
             data = np.frombuffer((text or "").encode(), dtype=np.uint8)
             w = bk.words_of(data, np.array([0, len(data)]))
@@ -96,6 +117,7 @@ class ItemIndex:
             fp = bk.simhash_bits(bk.bit_counts(h, np.array([0, len(h)])), np.array([len(h)]))[0]
             by_words.setdefault(n, []).append((i, fp, bag(_word_list(w, 0, n), k)))
             hashes.setdefault(k, []).append(h)
+            self.hashed[i] = np.unique(h, return_counts=True)
         self.groups = [SizeGroup(n, min(size, n), np.array([x[0] for x in got]), np.array([x[1] for x in got], dtype=np.uint64), [x[2] for x in got], radius) for n, got in sorted(by_words.items())]
         self.known = {k: np.unique(np.concatenate(h)) for k, h in hashes.items()}
         self.filters = {}
@@ -107,9 +129,9 @@ class ItemIndex:
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[Hit]:
         """The best window of every document for every item it holds at the threshold."""
         w = bk.words_of(data, offsets)
-        out: dict[tuple[int, int], Hit] = {}
+        out: list[Hit] = []
         if not len(w.starts):
-            return []
+            return out
         word_hash = bk.span_hashes(w.lower, w.starts, w.ends)
         for k, known in self.known.items():
             h = bk.shingle_hashes(word_hash, k)
@@ -126,49 +148,63 @@ class ItemIndex:
             total = np.zeros(len(h) + 1, dtype=np.int32)
             total[hits + 1] = 1
             np.cumsum(total, out=total)
+            docs = np.unique(doc)
             for g in self.groups:
                 if g.shingle == k:
-                    for hit in self._windows(g, w, h, total, hits, doc):
-                        old = out.get(hit[:2])
-                        if old is None or (-hit[5], hit[2]) < (-old[5], old[2]):
-                            out[hit[:2]] = hit
-        return list(out.values())
-
-    def _windows(self, g: SizeGroup, w: bk.Words, h: np.ndarray, total: np.ndarray, hits: np.ndarray, doc: np.ndarray) -> Iterator[Hit]:
-        # Windows of as many shingles as the item reach the threshold t only if at least 2t / (1 + t)
-        # of theirs are known shingles; windows that share fewer are not worth a fingerprint.
+                    out += self._best(g, w, h, *self._windows(g, w, total, docs))
+        return out
+
+    def _windows(self, g: SizeGroup, w: bk.Words, total: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, numbers of shingles) of the windows that are worth a fingerprint.
+
+        A window of as many shingles as the item reaches the threshold t only if at least 2t / (1 + t)
+        of them are shingles of the benchmark; ``total`` counts those before each place. In memory
+        there is one flag for each word, however long the item and however common its passages.
+        """
         m = g.shingles
         least = math.ceil(2 * self.threshold / (1 + self.threshold) * m - 1e-9)
-        fits = w.first[doc + 1] - w.first[doc] >= g.words
-        starts = (hits[fits][:, None] - np.arange(m - least + 1)).ravel()
-        owner = np.repeat(doc[fits], m - least + 1)
-        ok = (starts >= w.first[owner]) & (starts + g.words <= w.first[owner + 1])
-        starts = np.unique(starts[ok])
-        starts = starts[total[starts + m] - total[starts] >= least]
-        sizes = np.full(len(starts), m)
+        starts = np.flatnonzero(total[m:] - total[:-m] >= least) if len(total) > m else np.zeros(0, np.int64)
+        starts = starts[starts + g.words <= w.first[np.searchsorted(w.first, starts, side="right")]]
         # a document shorter than the item is one window
-        short = np.unique(doc[~fits])
-        if len(short):
-            own = w.first[short + 1] - w.first[short] - g.shingle + 1
-            known = total[np.maximum(w.first[short + 1] - g.shingle + 1, 0)] - total[w.first[short]]
-            short, own = short[known >= self.threshold * m], own[known >= self.threshold * m]
-            starts, sizes = np.concatenate([starts, w.first[short]]), np.concatenate([sizes, own])
-        for a in range(0, len(starts), 4096):
-            s, n = starts[a : a + 4096], sizes[a : a + 4096]
+        short = docs[w.first[docs + 1] - w.first[docs] < g.words]
+        own = w.first[short + 1] - w.first[short] - g.shingle + 1
+        known = total[w.first[short + 1] - g.shingle + 1] - total[w.first[short]]
+        enough = known >= self.threshold * m
+        return np.concatenate([starts, w.first[short[enough]]]), np.concatenate([np.full(len(starts), m), own[enough]])
+
+    def _best(self, g: SizeGroup, w: bk.Words, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[Hit]:
+        """Windows within the radius of an item are compared by the hashes of their shingles, and the
+        best for each document and item by the words themselves."""
+        found: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
+        rows = max(1, (1 << 19) // max(g.shingles, 1))  # shingles of so many windows are held at once
+        for a in range(0, len(starts), rows):
+            s, n = starts[a : a + rows], sizes[a : a + rows]
             first = np.concatenate([[0], np.cumsum(n)])
             flat = h[np.arange(first[-1]) - np.repeat(first[:-1] - s, n)]
             prints = bk.simhash_bits(bk.bit_counts(flat, first), n)
             for x, i, d in zip(*(v.tolist() for v in g.candidates(prints)), strict=True):
-                words = int(n[x]) + g.shingle - 1
-                value = similarity(bag(_word_list(w, int(s[x]), int(s[x]) + words), g.shingle), g.bags[i])
+                value = self._alike(g, i, flat[first[x] : first[x + 1]])
                 if value >= self.threshold:
-                    d_no = int(np.searchsorted(w.first, s[x], side="right") - 1)
-                    yield d_no, int(g.items[i]), int(s[x] - w.first[d_no]), words, int(d), value
+                    doc = int(np.searchsorted(w.first, s[x], side="right") - 1)
+                    found.setdefault((doc, i), []).append((-value, int(s[x]), int(n[x]) + g.shingle - 1, d))
+        for (doc, i), windows in found.items():
+            for _, at, words, d in sorted(windows):
+                value = similarity(bag(_word_list(w, at, at + words), g.shingle), g.bags[i])
+                if value >= self.threshold:
+                    yield doc, int(g.items[i]), at - int(w.first[doc]), words, d, value
+                    break
+
+    def _alike(self, g: SizeGroup, i: int, shingles: np.ndarray) -> float:
+        """Weighted Jaccard similarity of a window and an item, by hashes."""
+        kinds, counts = self.hashed[int(g.items[i])]
+        at = np.minimum(np.searchsorted(kinds, shingles), len(kinds) - 1)
+        shared = int(np.minimum(np.bincount(at[kinds[at] == shingles], minlength=len(kinds)), counts).sum())
+        return shared / max(len(shingles) + int(counts.sum()) - shared, 1)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, options: dict) -> Iterator[tuple[list, ItemIndex]]:
     """(item ids, index) of blocks of the benchmark of about BLOCK_BYTES each."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n):
@@ -206,6 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     batch.column(0).take(pa.array([x[0] for x in hits], pa.int64())), pa.array([ids[x[1]] for x in hits], item_arrow),
                     pa.array([x[2] for x in hits], pa.int64()), pa.array([x[3] for x in hits], pa.int64()), pa.array([x[4] for x in hits], pa.int32()), pa.array([x[5] for x in hits], pa.float64()),
                 ], names=schema.names)
+            bk.release_memory()
 
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -229,6 +266,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 for a, b in bk.doc_chunks(off):
                     keep[[a + x[0] for x in index.find(data[off[a] : off[b]], off[a : b + 1] - off[a])]] = False
                 yield batch.filter(pa.array(keep))
+            bk.release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
