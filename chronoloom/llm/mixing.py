@@ -14,18 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .storage import written
+from .storage import broadcast_if_light, columns_of, numbered, running_total, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
-SLOTS_PER_SHARD, MAX_SHARDS = 4096, 1 << 16
-DOCS_PER_CHUNK, MAX_CHUNKS = 512, 1 << 16
-#: Source tables of up to this many rows (about 100 bytes each) are broadcast, larger ones joined by shuffle.
-BROADCAST_SOURCES = 50_000
+SLOTS_PER_SHARD, DOCS_PER_CHUNK = 4096, 512
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Primes for the multipliers of the index permutations.
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
+#: By how much of its target, at most, the draw may miss a source's number of slots.
+TOLERANCE = 0.01
+#: Rounds of the permutations, and how often an index is mapped again at most (see ``_permuted``).
+ROUNDS, WALK = 6, 32
 
 
 def word_count(text: Column) -> Column:
@@ -49,66 +48,96 @@ class Mix:
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """Adds ``target`` to ``sources(skey, source, source_size)``.
+    """Adds ``n``, ``weight`` and ``target`` to ``sources(skey, source, source_size)``.
 
     Weights 1, 2, 3 repeat over the sources in code-point order, null last; they share the total of
     all sizes. A target stops at three times its source's size and the excess is shared again by
-    weight. In order of size by weight the stopped sources come first, so one running sum finds them.
+    weight, until no further target stops. Sums are of whole numbers, so reruns agree to the last bit.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = sources.withColumn("weight", weight.cast("double")).withColumn("cap", (F.col("source_size") * CAP).cast("double"))
-    order = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("skey"))
-    before, onward = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    s = s.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
-    return s.withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")))
-
-
-def _uniform(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
-def _draw(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """``(skey, block, times)``: how often each block is taken.
-
-    The i-th of a shard's M slots draws the source at quantile (i + u) / M of the targets' shares, u
-    its own uniform: a stratified multinomial draw, whose counts per shard have the multinomial's
-    means and less spread. Quantiles grow with i, so a source's slots in a shard are a run and its
-    length follows from the two ends. Slots of a source are numbered over the shards; number k takes
-    block (a * k + b) modulo the source's blocks, an affine permutation with a prime a that doesn't
-    divide them and its own a and b in each pass. No block is taken more than three times.
+    s = numbered(sources, F.col("source").asc_nulls_last())
+    s = s.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("n") % len(WEIGHTS) + 1).cast("int")).cast("long"))
+    s = written(s.withColumn("cap", F.col("source_size") * CAP), "mix-weights")
+    level, stopped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        r = s.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("weights"), F.count(F.when(full, 1)).alias("stopped")
+        ).first()
+        if r["stopped"] == stopped or not r["weights"]:
+            break
+        level, stopped = ((r["all"] or 0) - (r["caps"] or 0)) / r["weights"], r["stopped"]
+    return s.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))).drop("cap")
+
+
+def _hash(*cols: Column) -> Column:
+    """A whole number from 0 on."""
+    return F.xxhash64(*cols).bitwiseAND((1 << 63) - 1)
+
+
+def _permuted(k: Column, n: Column, *seeds: Column) -> Column:
+    """The place of ``k`` in a pseudorandom permutation of the numbers below ``n``.
+
+    A Feistel network over pairs (left, right) below a and b, with a * b the least such product of
+    nearly equal numbers that holds n; a result beyond n - 1 is mapped again until it is below. At
+    most a - 1 numbers lie beyond, so that many steps always do; and where a is over WALK, that many
+    fail with a chance under WALK ** -WALK, in which case an error is raised.
     """
-    s = sources.where("source_size > 0").withColumn("slots", F.col("target") * F.col("blocks") / F.col("source_size"))
-    order = W.orderBy("skey")
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumn("all_slots", F.sum("slots").over(everything))
-    s = s.withColumn("upto", F.sum("slots").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.col("all_slots"))
-    s = s.withColumn("from", F.coalesce(F.lag("upto").over(order), F.lit(0.0)))
-    s = s.withColumn("upto", F.when(F.row_number().over(W.orderBy(F.col("skey").desc())) == 1, F.lit(1.0)).otherwise(F.col("upto")))
-    s = s.withColumn("shards", F.least(F.ceil(F.col("all_slots") / SLOTS_PER_SHARD), F.lit(MAX_SHARDS)).cast("long"))
-    s = s.withColumn("m", F.ceil(F.col("all_slots") / F.col("shards")).cast("long"))
-    counts = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-
-    def end(p: Column) -> Column:
-        whole = F.floor(F.col("m") * p)
-        extra = (_uniform(F.lit(seed), F.col("shard"), whole) < F.col("m") * p - whole).cast("long")
-        return F.when(p >= 1.0, F.col("m")).otherwise(whole + extra)
-
-    counts = counts.withColumn("count", F.greatest(end(F.col("upto")) - end(F.col("from")), F.lit(0).cast("long")))
-    earlier = F.sum("count").over(W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.withColumn("base", F.coalesce(earlier, F.lit(0).cast("long"))).select("skey", "shard", "blocks", "count", "base")
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def network(x: Column) -> Column:
+        pair = F.struct((x / b).cast("long").alias("l"), (x % b).alias("r"))
+
+        def half(p: Column, i: Column) -> Column:
+            left, right = p["l"], p["r"]
+            return F.when(i % 2 == 0, F.struct(((left + _hash(i, right, *seeds) % a) % a).alias("l"), right.alias("r"))).otherwise(F.struct(left.alias("l"), ((right + _hash(i, left, *seeds) % b) % b).alias("r")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, half, lambda p: p["l"] * b + p["r"])
+
+    steps = F.sequence(F.lit(1).cast("long"), F.least(a, F.lit(WALK).cast("long")))
+    end = F.aggregate(steps, network(k), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(end < n, end).otherwise(F.raise_error(F.lit("a permutation did not settle")).cast("long"))
+
+
+def draw_slots(sources: DataFrame, seed: int) -> DataFrame:
+    """``(shard, skey, block)``: the output shards' slots, and which block of which source each gets.
+
+    A source is due target * blocks / size slots. There are as many slots as are due in all, in
+    shards of SLOTS_PER_SHARD; each draws its source with the sources' shares, so a shard's counts are
+    multinomial. Counts are then corrected to be within TOLERANCE of what is due: of too many slots
+    the last are left out, and missing ones fill a shard after all others. Slots of a source are
+    numbered over the shards, and number k takes block p(k modulo blocks), p a permutation of the
+    source's blocks with a key of its own in each pass. No block is taken more than CAP times.
+    """
+    s = sources.where("source_size > 0").select("skey", "n", "blocks", F.greatest(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.lit(1.0)).cast("long").alias("due"))
+    s = written(running_total(s, [], "n", "due", "from"), "mix-due")
+    due, n_sources = s.agg(F.sum("due"), F.count("*")).first()
+    spark = sources.sparkSession
+    if not due:
+        return spark.createDataFrame([], "shard long, skey string, block long")
+    # sources lie side by side on a line; a cell of the line has few of them
+    width = max(1, due // (2 * n_sources))
+    ends = F.expr(f"from div {width}"), F.expr(f"(from + due - 1) div {width}")
+    cells = s.select("skey", "from", "due", F.explode(F.sequence(*ends)).alias("cell"))
+    cells = broadcast_if_light(cells, F.octet_length("skey") + 64)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    line = spark.range(0, due, 1, parts).select(F.expr(f"id div {SLOTS_PER_SHARD}").alias("shard"), (_hash(F.lit(seed), F.col("id")) % due).alias("at"))
+    line = line.withColumn("cell", F.expr(f"at div {width}"))
+    drawn = line.join(cells, "cell").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("from") + F.col("due"))).groupBy("skey", "shard").agg(F.count("*").alias("count"))
+    drawn = written(drawn, "mix-counts")
+    totals = s.join(drawn.groupBy("skey").agg(F.sum("count").alias("got")), "skey", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    least, most = F.ceil(F.col("due") * (1 - TOLERANCE)), F.least(F.floor(F.col("due") * (1 + TOLERANCE)), F.col("blocks") * CAP)
+    totals = totals.select("skey", "blocks", "got", F.greatest(F.least(F.col("got"), most), least).cast("long").alias("take"))
+    totals = written(totals, "mix-totals")
+    last = -(-due // SLOTS_PER_SHARD)
+    missing = totals.where("take > got").select("skey", F.lit(last).cast("long").alias("shard"), (F.col("take") - F.col("got")).alias("count"))
+    counts = running_total(drawn.unionByName(missing), ["skey"], "shard", "count", "base")
+    known = broadcast_if_light(totals.select("skey", "blocks", "take"), F.octet_length("skey") + 64)
     # a row here stands for a shard's slots of a source: spread them before they are unfolded
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.repartition(parts, "skey", "shard")
-    slots = counts.where("count > 0").select("skey", "blocks", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("count") - 1)).alias("k"))
-    slots = slots.where(F.col("k") < CAP * F.col("blocks")).withColumn("turn", F.expr("k div blocks"))
-    coprime = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("blocks") % p != 0)
-    pick = F.element_at(coprime, (F.pmod(F.xxhash64(F.lit(seed + 1), "skey", "turn"), F.size(coprime).cast("long")) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(seed + 2), "skey", "turn"), F.col("blocks"))
-    at = F.pmod(pick * F.pmod(F.col("k"), F.col("blocks")) + shift, F.col("blocks"))
-    return slots.select("skey", at.alias("block")).groupBy("skey", "block").agg(F.count("*").alias("times"))
+    counts = counts.join(known, "skey").repartition(parts, "skey", "shard")
+    slots = counts.select("skey", "shard", "blocks", "take", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("count") - 1)).alias("k")).where("k < take")
+    at = _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed + 1), F.col("skey"), F.expr("k div blocks"))
+    return slots.select("shard", "skey", at.alias("block"))
 
 
 def plan_mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = 11) -> Mix:
@@ -119,22 +148,21 @@ def plan_mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = 11) -> Mix:
     whole source, and the order doesn't depend on partitions.
     """
     rows = written(rows.select("row", "source", "size", source_key(F.col("source")).alias("skey")), "mix-rows")
-    n_docs = rows.count()
-    chunks = max(1, min(MAX_CHUNKS, math.ceil(n_docs / DOCS_PER_CHUNK)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "row", "size"), F.lit(chunks).cast("long")).cast("int"))
+    chunks = max(1, math.ceil(rows.count() / DOCS_PER_CHUNK))
+    rows = rows.withColumn("chunk", _hash(F.lit(seed), F.col("row"), F.col("size")) % chunks)
     sums = written(rows.groupBy("skey", "source", "chunk").agg(F.sum("size").alias("words")), "mix-chunks")
     by_source = sums.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
     sources = written(targets(by_source).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")), "mix-sources")
-    before = F.sum("words").over(W.partitionBy("skey").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    offsets = written(sums.select("skey", "chunk", F.coalesce(before, F.lit(0).cast("long")).alias("base")), "mix-offsets")
+    offsets = written(running_total(sums.select("skey", "chunk", "words"), ["skey"], "chunk", "words", "base").drop("words"), "mix-offsets")
     in_chunk = W.partitionBy("skey", "chunk").orderBy("row", "size")
-    numbered = rows.select(
+    rows = rows.select(
         "row", "skey", "size", "chunk", F.row_number().over(in_chunk).alias("n"),
         F.coalesce(F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("local"),
     )
-    docs = numbered.join(offsets, ["skey", "chunk"]).select("row", "skey", "size", "chunk", "n", (F.col("base") + F.col("local")).alias("start"))
+    docs = rows.join(offsets, ["skey", "chunk"]).select("row", "skey", "size", "chunk", "n", (F.col("base") + F.col("local")).alias("start"))
     # written, so that its size is known: an estimate from the few rows of sources would broadcast it
-    return Mix(docs, sources, written(_draw(sources, block, seed), "mix-drawn"), block)
+    drawn = draw_slots(sources, seed).groupBy("skey", "block").agg(F.count("*").alias("times"))
+    return Mix(docs, sources, written(drawn, "mix-drawn"), block)
 
 
 def pieces(mix: Mix) -> DataFrame:
@@ -151,8 +179,7 @@ def pieces(mix: Mix) -> DataFrame:
 
 
 def _with_sources(df: DataFrame, sources: DataFrame) -> DataFrame:
-    small = sources.select("skey", "source_size", "target")
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_SOURCES else small, "skey")
+    return df.join(broadcast_if_light(sources.select("skey", "source_size", "target"), F.octet_length("skey") + 64), "skey")
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
@@ -173,24 +200,25 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
     it takes twice, then thrice; documents of which nothing is taken are left out. ``length_col``
     is set to the new length. Rows that are equal in every column are documents of their own.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__row", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")))
-    rows = keyed.select(F.col("__row").alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    mix = plan_mix(rows, block, seed)
+    columns = columns_of(docs)
+    # the rows themselves are one struct, so their columns may have any names
+    keyed = docs.select(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.struct(*columns).alias("doc"))
+    mix = plan_mix(keyed.select(F.struct("a", "b").alias("row"), "source", word_count(F.col("text")).alias("size")), block, seed)
     # a repeated row has parts for each of its places in the chunk, and its text is joined to each
-    parts = pieces(mix).where("times > 0").groupBy("row", "chunk", "n").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("__parts"))
-    parts = parts.select(F.col("row.a").alias("__a"), F.col("row.b").alias("__b"), "__parts")
-    unique = keyed.select(*columns, F.col("__row.a").alias("__a"), F.col("__row.b").alias("__b")).dropDuplicates(["__a", "__b"])
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    parts = pieces(mix).where("times > 0").groupBy("row", "chunk", "n").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("parts"))
+    parts = parts.select("row.a", "row.b", "parts")
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
 
     def taken(w: Column) -> Column:
         def turn(t: Column) -> Column:
-            return F.flatten(F.transform(F.filter("__parts", lambda p: p["times"] >= t), lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int"))))
+            return F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= t), lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int"))))
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.array_max("__parts.times").cast("int")), turn))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.array_max("parts.times").cast("int")), turn))
 
     # bound as a lambda's argument, the words are split once and not for every slice of them
-    out = unique.join(parts, ["__a", "__b"]).withColumn(text_col, F.array_join(F.element_at(F.transform(F.array(words), taken), 1), " "))
-    if length_col in columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*columns)
+    mixed = F.array_join(F.element_at(F.transform(F.array(words), taken), 1), " ")
+    out = keyed.select("a", "b", "text", "doc").dropDuplicates(["a", "b"]).join(parts, ["a", "b"]).select("doc", mixed.alias("text"))
+    own = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        own[length_col] = F.length("text").cast(docs.schema[length_col].dataType)
+    return out.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

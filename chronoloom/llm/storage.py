@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -54,6 +61,40 @@ BROADCAST_BYTES = 64 << 20
 
 def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """``df`` with a broadcast hint if its rows, which are counted here, fit the bound."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+
+
+def broadcast_if_light(df: DataFrame, size: Column) -> DataFrame:
+    """As ``broadcast_if_small``, by the sum of ``size``, the bytes of a row."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``n``: the number of rows before it in the given order, from 0.
+
+    Rows are dealt into ranges of the order and numbered there; only the ranges' sizes meet in one
+    task. Rows that are equal in the order are numbered in any way.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+    dealt = written(dealt, "numbered")
+    part = F.shiftright("n", 33)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = sizes.select("part", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
+    return dealt.join(F.broadcast(before), part == F.col("part")).withColumn("n", F.col("before") + F.col("n").bitwiseAND((1 << 33) - 1)).drop("part", "before")
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, group: int = 1024) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same keys that are lower in ``order``.
+
+    ``order`` has different whole numbers from 0 for each key. ``group`` neighbouring numbers are
+    summed first, so that no task sees all rows of a key.
+    """
+    cell = F.expr(f"`{order}` div {group}")
+    rows = df.withColumn("__cell", cell)
+    cells = rows.groupBy(*keys, "__cell").agg(F.sum(value).alias("__sum"))
+    earlier = W.partitionBy(*keys).orderBy("__cell") if keys else W.orderBy("__cell")
+    cells = cells.select(*keys, "__cell", F.coalesce(F.sum("__sum").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = W.partitionBy(*keys, "__cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(cells, [*keys, "__cell"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__cell", "__before", "__inside")
