@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that the kernels hold in index arrays at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

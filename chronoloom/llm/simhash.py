@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import bytekernel as bk
 from .components import connected_components
-from .storage import broadcast_if_small, is_empty, written
+from .storage import broadcast_if_small, columns_of, is_empty, written
 
 SEED = 42
 BLOCK_BITS, BLOCKS = 16, 4
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             parts = [fingerprint_buffers(data[off[a] : off[b]], off[a : b + 1] - off[a], size) for a, b in bk.doc_chunks(off)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        bk.release_memory()
 
     return source.mapInArrow(run, schema)
 
@@ -183,13 +184,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``groups_of`` is given the options and says what a group is. Null ids count as larger than any; of rows equal in every column one stays.
     """
-    columns = docs.columns
+    columns = columns_of(docs)
     last = F.lit((1 << 63) - 1)
-    name = F.struct(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(*columns).alias("row"))
-    groups = written(groups_of(docs.select(name.alias("name"), F.col(text_col).alias("text")), id_col="name", text_col="text", **options), "groups")
-    kept = groups.where("id = component").groupBy(F.col("id.row").alias("__row")).agg(F.count("*").alias("n"))
-    kept = written(kept, "kept")
-    keyed = docs.withColumn("__row", F.xxhash64(*columns)).join(broadcast_if_small(kept.select("__row"), 24), "__row", "left_semi")
+    # the rows themselves are one struct, so their columns may have any names
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(*columns).alias("row"), F.col(text_col).alias("text"), F.struct(*columns).alias("doc"))
+    groups = written(groups_of(keyed.select(F.struct("id", "row").alias("name"), "text"), id_col="name", text_col="text", **options), "groups")
+    kept = written(groups.where("id = component").groupBy("id.id", "id.row").agg(F.count("*").alias("n")), "kept")
+    out = keyed.select("id", "row", "doc").join(broadcast_if_small(kept.select("id", "row"), 32), ["id", "row"], "left_semi")
     if not is_empty(kept.where("n > 1")):
-        keyed = keyed.dropDuplicates(["__row"])
-    return keyed.select(*columns)
+        out = out.dropDuplicates(["id", "row"])
+    return out.select("doc.*")
