@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytekernel as bk
+from .storage import written
+
 SCALE = 256
 DIM_BLOCK = 8
-#: Vectors of one query block (kept on the driver and broadcast), and of one candidate block.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
-_RESULT = "query_id long, vec_id long, score long"
+#: Bytes of the query vectors of one pass over the candidates (kept on the driver and broadcast).
+QUERY_BYTES = 32 << 20
+#: Queries and candidates that are multiplied at once.
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
+_RESULT = "query int, vec_id long, score long"
 _EXACT = float(1 << 52)
 
+Best = list[tuple[int, int]]  # (minus score, id), best first
+
 
 def quantised(column: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) per component as doubles (whole numbers); null unless every component is finite."""
@@ -26,107 +33,123 @@ def quantised(column: Column, scale: int = SCALE) -> Column:
     return F.when(column.isNotNull() & (F.size(column) > 0) & sound, doubles)
 
 
-def block_top_k(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int, dim_block: int = DIM_BLOCK) -> list[tuple[int, int, int]]:
-    """The k best (score descending, id ascending) of one candidate block for each query.
+def block_top_k(queries: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int, best: list[Best], dim_block: int = DIM_BLOCK) -> None:
+    """Merge the k best (score descending, id ascending) of one candidate block into each query's ``best``.
 
     ``cands`` is vertical: one row per dimension. Scores grow by ``dim_block`` dimensions at a time.
     After each block, the rest of a score lies within plus or minus the product of the norms of the
     remaining parts (Cauchy-Schwarz); candidates whose upper bound is below the k-th largest lower
-    bound are dropped and the surviving columns are compacted.
+    bound, or below the k-th best of the blocks before, are dropped and the surviving columns are
+    compacted.
     """
     dims, n = cands.shape
-    out: list[tuple[int, int, int]] = []
     cuts = list(range(0, dims, dim_block))
     # norms of what remains from each cut on
     rest_c = [np.sqrt((cands[c:] ** 2).sum(axis=0)) for c in [*cuts[1:], dims]]
     rest_q = [np.sqrt((queries[:, c:] ** 2).sum(axis=1)) for c in [*cuts[1:], dims]]
     first = queries[:, :dim_block] @ cands[:dim_block]
-    for i in range(len(queries)):
-        alive = np.flatnonzero(cand_ids != query_ids[i])
-        score = first[i][alive]
+    for i, mine in enumerate(best):
+        alive, score = np.arange(n), first[i]
+        known = -mine[-1][0] if len(mine) == k else -math.inf
         for step, cut in enumerate(cuts):
             if step:
                 score = score + queries[i, cut : cut + dim_block] @ cands[cut : cut + dim_block][:, alive]
-            if len(alive) > k and step + 1 < len(cuts):
-                slack = rest_c[step][alive] * rest_q[step][i]
-                slack += 1e-9 * slack + 1e-6
-                floor = np.partition(score - slack, len(alive) - k)[len(alive) - k]
-                keep = score + slack >= floor
-                alive, score = alive[keep], score[keep]
-        best = np.lexsort((cand_ids[alive], -score))[:k]
-        out += [(int(query_ids[i]), int(cand_ids[alive[b]]), int(score[b])) for b in best]
-    return out
-
-
-def _plain_top_k(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+            slack = rest_c[step][alive] * rest_q[step][i]
+            slack += 1e-9 * slack + 1e-6
+            floor = known
+            if len(alive) > k:
+                floor = max(floor, np.partition(score - slack, len(alive) - k)[len(alive) - k])
+            keep = score + slack >= floor
+            alive, score = alive[keep], score[keep]
+            if not len(alive):
+                break
+        order = np.lexsort((cand_ids[alive], -score))[:k]
+        mine += [(-int(score[b]), int(cand_ids[alive[b]])) for b in order]
+        mine.sort()
+        del mine[k:]
+
+
+def _clamped(x: int) -> int:
+    return max(min(x, (1 << 63) - 1), -(1 << 63))
+
+
+def _plain_top_k(queries: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int, best: list[Best]) -> None:
     """As block_top_k, in whole numbers of any size, for components too large for doubles."""
-    out: list[tuple[int, int, int]] = []
     whole = [[int(x) for x in v] for v in cands.T]
-    for q, qid in zip(queries, query_ids, strict=True):
+    for q, mine in zip(queries, best, strict=True):
         q = [int(x) for x in q]
-        scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), int(c)) for v, c in zip(whole, cand_ids, strict=True) if c != qid)
-        out += [(int(qid), c, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, c in scores[:k]]
-    return out
+        mine += [(-_clamped(sum(a * b for a, b in zip(q, v, strict=True))), int(c)) for v, c in zip(whole, cand_ids, strict=True)]
+        mine.sort()
+        del mine[k:]
 
 
 def _search(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    """The k best per query and partition of ``vectors(id, v)``; queries: by number of dimensions."""
+    """The k best per query and partition of ``vectors(id, v)``; queries: their numbers and vectors by
+    number of dimensions."""
     shared = vectors.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}
+        best: dict[int, list[Best]] = {d: [[] for _ in number] for d, (number, _) in shared.value.items()}
         for batch in batches:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             flat, ids = lists.flatten().to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            for dims in np.unique(sizes):
-                if int(dims) not in shared.value:
+            for dims in np.unique(sizes).tolist():
+                if dims not in best:
                     continue
-                q, qid = shared.value[int(dims)]
-                rows = np.flatnonzero(sizes == dims)
+                rows, asked = np.flatnonzero(sizes == dims), shared.value[dims][1]
                 for a in range(0, len(rows), CANDIDATE_BLOCK):
                     part = rows[a : a + CANDIDATE_BLOCK]
                     cands = np.ascontiguousarray(flat[(ends[part] - dims)[:, None] + np.arange(dims)].T)
-                    big = np.abs(q).max(initial=0) * np.abs(cands).max(initial=0) * max(int(dims), 1) >= _EXACT
-                    for x, c, s in (_plain_top_k if big else block_top_k)(q, qid, cands, ids[part], k):
-                        best.setdefault(x, []).append((-s, c))
-                for x, found in best.items():
-                    if len(found) > 4 * k:
-                        best[x] = sorted(found)[:k]
-        rows_out = [(x, c, -s) for x, found in best.items() for s, c in sorted(found)[:k]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows_out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+                    for x in range(0, len(asked), QUERY_BLOCK):
+                        q = asked[x : x + QUERY_BLOCK]
+                        big = np.abs(q).max(initial=0) * np.abs(cands).max(initial=0) * max(dims, 1) >= _EXACT
+                        (_plain_top_k if big else block_top_k)(q, cands, ids[part], k, best[dims][x : x + QUERY_BLOCK])
+        for dims, found in best.items():
+            rows_out = [(int(n), c, -s) for n, mine in zip(shared.value[dims][0], found, strict=True) for s, c in mine]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_out], pa.int32())] + [pa.array([r[j] for r in rows_out], pa.int64()) for j in (1, 2)], names=["query", "vec_id", "score"])
+        bk.release_memory()
 
     return vectors.mapInArrow(run, _RESULT)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every row with ``is_query`` the k other rows of largest
     integer inner product of the quantised vectors; ties go to the smaller id.
 
     Rows take no part if the id is null, or the vector is null, empty, or has a null, NaN or infinite
-    component. Only vectors of the same number of dimensions are compared. Rows of one id are the
-    same vector's rows: none is a candidate for the other, and as queries they count once (the
-    first vector in array order). Fewer than k candidates give fewer rows.
-
-    Queries are taken block by block in id order; a block is bounded, is searched against all
-    rows, and each partition returns k rows per query.
+    component. Only vectors of the same number of dimensions are compared; scores beyond 64 bits are
+    cut to them. Rows that repeat an id, or all of a row, are rows of their own: each is a candidate
+    for the others and asks for itself, so a query_id that repeats has its ranks as often. Fewer
+    than k other rows give fewer ranks. Other columns may have any names.
+
+    The queries, a set that the caller states, are taken in passes of ``query_bytes`` of vectors. A
+    pass goes over all rows once; its tasks keep k + 1 rows per query, the query's own among them, and
+    drop candidates by the best that they have seen. A pass among several writes its results, so
+    neither the plan nor the driver's memory grows with the number of passes.
     """
+    spark = vectors.sparkSession
     sound = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q")).where("id is not null and v is not null")
-    asked = sound.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    plain = sound.select("id", "v")
-    found = None
-    n_blocks = max(1, math.ceil(n / query_block))
-    for b in range(n_blocks):
-        # a block has about query_block rows, whatever n is
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect() if n else []
-        by_dims: dict[int, list[tuple[int, list[float]]]] = {}
-        for r in rows:
-            by_dims.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
-        block = {d: (np.array([x[1] for x in got]), np.array([x[0] for x in got], dtype=np.int64)) for d, got in by_dims.items()}
-        part = _search(plain, block, k)
-        found = part if found is None else found.unionByName(part)
-    # the k best of a query are few: one sorted array per query, cut to k
-    ranked = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id")))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast(T.IntegerType()).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    asked = sound.where("q").groupBy("id", "v").agg(F.count("*").alias("m"))
+    size = asked.agg(F.sum(F.size("v").cast("long") * 8 + 32)).first()[0] or 0
+    passes = max(1, math.ceil(size / query_bytes))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id")))), 1, k + 1)
+    own = F.array_position("best", F.struct((-F.col("self")).alias("s"), F.col("query_id").alias("vec_id"))).cast("int")
+    others = F.when(own > 0, F.concat(F.slice("best", 1, own - 1), F.slice("best", own + 1, k + 1))).otherwise(F.col("best"))
+    out = None
+    for p in range(passes):
+        rows = sorted(asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(passes)) == p).collect(), key=lambda r: (r["id"], r["v"]))
+        block: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for d in {len(r["v"]) for r in rows}:
+            mine = [i for i, r in enumerate(rows) if len(r["v"]) == d]
+            block[d] = np.array(mine, dtype=np.int32), np.array([rows[i]["v"] for i in mine])
+        facts = [(i, r["id"], r["m"], _clamped(sum(int(x) * int(x) for x in r["v"]))) for i, r in enumerate(rows)]
+        asking = spark.createDataFrame(facts, "query int, query_id long, m long, self long")
+        best = _search(sound.select("id", "v"), block, k + 1).groupBy("query").agg(ranked.alias("best")).join(F.broadcast(asking), "query")
+        part = best.select("query_id", "m", F.slice(others, 1, k).alias("best"))
+        part = written(part, "top-k") if passes > 1 else part
+        out = part if out is None else out.unionByName(part)
+    # a query that occurs m times has its ranks m times
+    out = out.select("query_id", F.explode(F.array_repeat("best", F.col("m").cast("int"))).alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
+    return out.select("query_id", (F.col("at") + 1).cast(T.IntegerType()).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
