@@ -10,53 +10,46 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import is_empty, written
-
-#: Bits of one level. Rule lists that would need more are refused; ask them with a semi join.
-MAX_BITS = 1 << 22
+from .storage import is_empty, scratch, written
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``words`` has its bits, 64 to a word."""
+    """One Bloom filter: ``words`` has its bits, 64 to a word, as one text of whole numbers.
+
+    Spark folds the text into one literal array when it plans a query, so a filter of any size is a
+    single expression: about 1.5 bits for each hash of each key.
+    """
 
     seed: int
     hashes: int
-    words: tuple[int, ...]
-
-    def positions(self, key: Column) -> list[Column]:
-        return _positions(key, self.seed, self.hashes, 64 * len(self.words))
+    size: int
+    words: str
 
     def holds(self, key: Column) -> Column:
-        bits = F.array(*[F.lit(w).cast("long") for w in self.words])
-        tests = [F.expr("true")]
-        for p in self.positions(key):
-            word = F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int"))
-            tests.append(F.getbit(word, p.bitwiseAND(63).cast("int")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        bits = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        spots = F.array(*_positions(key, self.seed, self.hashes, 64 * self.size))
+        return F.forall(spots, lambda p: F.getbit(F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
 
 
 def _positions(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + j)), F.lit(bits).cast("long")) for j in range(hashes)]
 
 
-def _level(keys: DataFrame, n: int, rate: float, seed: int, max_bits: int) -> Level:
+def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter of ``keys(key)`` with false-positive rate about ``rate``."""
     hashes = max(1, round(-math.log2(rate)))
-    words = max(1, math.ceil(n * hashes / math.log(2) / 64))
-    if 64 * words > max_bits:
-        raise ValueError(f"{n} keys need a filter of {64 * words} bits; the bound is {max_bits}")
-    spots = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, hashes, 64 * words))).alias("p"))
+    size = max(1, math.ceil(n * hashes / math.log(2) / 64))
+    spots = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, hashes, 64 * size))).alias("p"))
     bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
-    rows = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect()  # at most `words` rows
-    found = {r["w"]: r["b"] for r in rows}
-    return Level(seed, hashes, tuple(found.get(w, 0) for w in range(words)))
+    found = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # at most `size` rows
+    words = np.zeros(size, dtype=np.int64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return Level(seed, hashes, size, ",".join(map(str, words.tolist())))
 
 
 @dataclass(frozen=True)
@@ -73,26 +66,28 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """The cascade that tells the keys of ``listed(key)`` from all other keys of ``universe(key)``.
 
     Level 1 holds the listed keys; level 2 its false positives among the whole universe; level 3 the
     listed keys that level 2 holds by mistake, and so on until a level makes none. Level 1's rate
-    is tuned so that level 2 is about as large as the list, whatever the universe's size.
-    Null keys are ignored; an empty list gives a cascade without levels, which holds nothing.
+    is tuned so that level 2 is about as large as the list, whatever the universe's size, so the
+    cascade grows with the list alone. Null keys are ignored; an empty list gives a cascade without
+    levels, which holds nothing.
     """
-    listed = written(listed.where("key is not null").select("key").distinct(), "listed")
-    n = listed.count()
-    if not n:
-        return Cascade()
-    universe = universe.where("key is not null").select("key")
-    size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    levels = [_level(listed, n, min(0.5, n / max(size, 1)), 1, max_bits)]
-    wrong = written(universe.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti"), "cascade")
-    older, newer = listed, wrong  # the set that the last level encodes, and what it holds by mistake
-    while not is_empty(newer):
-        levels.append(_level(newer, newer.count(), 0.5, len(levels) + 1, max_bits))
-        older, newer = newer, written(older.where(levels[-1].holds(F.col("key"))), "cascade")
+    with scratch(universe.sparkSession):
+        listed = written(listed.where("key is not null").select("key").distinct(), "listed")
+        n = listed.count()
+        if not n:
+            return Cascade()
+        universe = universe.where("key is not null").select("key")
+        size = universe.agg(F.approx_count_distinct("key")).first()[0]
+        levels = [_level(listed, n, min(0.5, n / max(size, 1)), 1)]
+        wrong = written(universe.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti"), "cascade")
+        older, newer = listed, wrong  # the set that the last level encodes, and what it holds by mistake
+        while not is_empty(newer):
+            levels.append(_level(newer, newer.count(), 0.5, len(levels) + 1))
+            older, newer = newer, written(older.where(levels[-1].holds(F.col("key"))), "cascade")
     return Cascade(tuple(levels))
 
 
@@ -111,29 +106,35 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """``(id, host, path, rule, verdict)`` for every row.
 
     ``rules`` are (``allow`` or ``block``, host followed by the start of a path). A rule fits its
     host and all subdomains where the url's path starts with the rule's; the longest wins, block
     before allow where both list the same rule. A url that no rule fits is on no list: verdict
-    ``default``, rule null. Every (host suffix, path prefix of a rule's length) of the corpus is a
-    key of the universe, so lookups are exact.
+    ``default``, rule null. Every pair of a list and a (host suffix, path prefix) that is as long as
+    some rule's is a key of the universe, so lookups are exact. Suffixes of more labels than any
+    rule's host has fit none and are not made, however long the host. Repeated rows come out as
+    often; other columns may have any names.
     """
     rules = sorted(set(rules))
     spark = pages.sparkSession
     lengths = sorted({len(rule) - rule.index("/") for _, rule in rules})
+    most = max((rule[: rule.index("/")].count(".") + 1 for _, rule in rules), default=0)
     judged = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), F.lit(max(most, 1)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
-    universe = judged.select(F.explode(keys).alias("key"))
-    lists = {what: spark.createDataFrame([(rule,) for w, rule in rules if w == what], "key string") for what in ("allow", "block")}
-    cascades = {what: build_cascade(keys_of, universe, max_bits) for what, keys_of in lists.items()}
-    ranked = F.transform(
-        F.filter(F.col("keys"), lambda k: cascades["block"].member(k) | cascades["allow"].member(k)),
-        lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.when(cascades["block"].member(k), "block").otherwise("allow").alias("verdict")),
-    )
-    out = judged.withColumn("keys", keys).withColumn("best", F.try_element_at(F.sort_array(ranked, asc=False), F.lit(1)))
+    # one cascade holds both lists: a key begins with its list's letter
+    universe = judged.select(F.explode(keys).alias("key")).select(F.explode(F.array(F.concat(F.lit("b"), "key"), F.concat(F.lit("a"), "key"))).alias("key"))
+    listed = spark.createDataFrame([(("b" if what == "block" else "a") + rule,) for what, rule in rules], "key string")
+    cascade = build_cascade(listed, universe)
+
+    def verdict(key: Column) -> Column:
+        return F.when(cascade.member(F.concat(F.lit("b"), key)), "block").when(cascade.member(F.concat(F.lit("a"), key)), "allow")
+
+    found = F.filter(F.transform(F.col("keys"), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict(k).alias("verdict"))), lambda f: f["verdict"].isNotNull())
+    out = judged.withColumn("keys", keys).withColumn("best", F.try_element_at(F.sort_array(found, asc=False), F.lit(1)))
     return out.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
