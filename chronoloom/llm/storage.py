@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +36,63 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/chronoloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: The tables written inside each ``scratch`` block that is open.
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with the same schema.
 
     This cuts the lineage: a lost executor costs no recomputation, and later joins see a
-    plain scan whose size is known.
+    plain scan whose size is known. The table goes at the end of the innermost ``scratch`` block, or
+    with ``keep`` at the end of the one around that; outside of any it stays.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are written inside the block, at its end.
+
+    What leaves the block must read no other table than those written with ``keep``.
+    """
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in paths:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever their names hold."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+#: Rows of an Arrow batch where whole texts travel: a batch is held on both sides of the pipe.
+ARROW_ROWS = 1000
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekernel as bk
-from .storage import is_empty, written
+from .storage import ARROW_ROWS, arrow_rows, broadcast_if_small, is_empty, scratch, written
 
 MIN_BYTES = 200
 #: Bytes of an anchor; every string of MIN_BYTES owns the anchor of least hash inside it.
@@ -26,10 +27,10 @@ SHARD_BYTES = 1 << 18
 #: Lists of spans up to this size are broadcast to the texts; larger ones meet them by shuffle. The lists of
 #: contexts for the transforms are the longest and always do, so that memory and disk follow the input.
 BROADCAST_BYTES = 32 << 20
-#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 1000
 #: Bytes of texts in index arrays at once.
 TEXT_BYTES = 1 << 19
+#: Rows that share a key beyond which they are not brought together by it.
+HOT_ROWS = 4096
 #: Starts handled at once in a long document.
 _STRIDE = 1 << 21
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -63,7 +64,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = MIN_BYTES) -> t
     A start is a byte at which a string of ``length`` bytes begins inside its document; it belongs
     to the anchor of least hash in that string, the last of equals. Which anchor that is depends on
     the string alone, so equal strings have equal anchors at equal places. The context is the bytes
-    from the run's first start to the end of its last string.
+    from the run's first start to the end of its last string; its hash is 64 bits of BLAKE2b.
     """
     none = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
@@ -87,7 +88,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = MIN_BYTES) -> t
         count = np.diff(np.append(total[first], total[-1]))
         found.append((starts[first], count, h[place[first]]))
     lo, count, a = (np.concatenate(x) for x in zip(*found, strict=True))
-    c = bk.span_hashes(data, lo, lo + count - 1 + length)
+    raw, digest = data.tobytes(), hashlib.blake2b
+    c = np.frombuffer(b"".join([digest(raw[s:e], digest_size=8).digest() for s, e in zip(lo.tolist(), (lo + count - 1 + length).tolist(), strict=True)]), dtype=np.uint64)
     return np.searchsorted(offsets, lo, side="right") - 1, lo, count, a, c
 
 
@@ -224,6 +226,21 @@ def _places(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, list
     return n, [pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in lists]
 
 
+def _in_groups(rows: DataFrame, groups: DataFrame, keys: list[str], among: bool = True) -> DataFrame:
+    """The rows whose ``keys`` are in ``groups(*keys, n)``, or those whose are not.
+
+    n says how many rows have the keys. Groups of over HOT_ROWS are few (the rows' number over HOT_ROWS
+    at most); theirs are looked up where the rows are, so that a group isn't brought to one task.
+    """
+    hot = written(groups.where(F.col("n") > HOT_ROWS).select(*keys), "hot-groups")
+    how = "left_semi" if among else "left_anti"
+    if is_empty(hot):
+        return rows.join(groups.select(*keys), keys, how)
+    hot = broadcast_if_small(hot, 40)
+    rest = rows.join(hot, keys, "left_anti").join(groups.where(F.col("n") <= HOT_ROWS).select(*keys), keys, how)
+    return rest.unionByName(rows.join(hot, keys, "left_semi")) if among else rest
+
+
 def _contexts(joined: DataFrame, length: int, pad: int = 0) -> DataFrame:
     """The bytes of each listed context, with up to ``pad`` more on both sides; left: how many before."""
 
@@ -331,14 +348,14 @@ def _spans_by_hash(contexts: DataFrame, length: int) -> DataFrame:
 
     cells = written(contexts.mapInArrow(run, _CELLS), "cells")
     long_ = written(cells.where("hl is not null").groupBy("a", "k", "hl").agg(F.count("*").alias("n"), F.min("hs").alias("hs"), F.min("fine").alias("fine")).where("n > 1"), "long")
-    short = written(cells.groupBy("a", "k", "hs").agg(F.count("*").alias("n")).where("n > 1").select("a", "k", "hs"), "short")
-    whole = cells.join(long_.select("a", "k", "hl"), ["a", "k", "hl"], "left_semi").select("key", "s", (F.col("s") + F.size("fine") - 1 + length).alias("e"))
-    edges = written(cells.join(short, ["a", "k", "hs"], "left_semi").join(long_.select("a", "k", "hl"), ["a", "k", "hl"], "left_anti"), "edges")
+    short = written(cells.groupBy("a", "k", "hs").agg(F.count("*").alias("n")).where("n > 1").select("a", "k", "hs", "n"), "short")
+    whole = _in_groups(cells, long_, ["a", "k", "hl"]).select("key", "s", (F.col("s") + F.size("fine") - 1 + length).alias("e"))
+    edges = written(_in_groups(_in_groups(cells, short, ["a", "k", "hs"]), long_, ["a", "k", "hl"], among=False), "edges")
     witness = long_.join(edges.select("a", "k", "hs").distinct(), ["a", "k", "hs"], "left_semi").select("a", F.lit(None).cast("long").alias("key"), F.lit(0).alias("s"), "fine")
     strings = edges.select("a", "key", "s", "fine").unionByName(witness).select("a", "key", "s", F.posexplode("fine").alias("i", "h"))
     strings = written(strings.select("a", "h", "key", (F.col("s") + F.col("i")).alias("s")), "strings")
-    again = written(strings.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1").select("a", "h"), "repeated-strings")
-    single = strings.where("key is not null").join(again, ["a", "h"], "left_semi").select("key", "s", (F.col("s") + length).alias("e"))
+    again = written(strings.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1"), "repeated-strings")
+    single = _in_groups(strings.where("key is not null"), again, ["a", "h"]).select("key", "s", (F.col("s") + length).alias("e"))
     return whole.unionByName(single)
 
 
@@ -355,8 +372,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES, group_limit: int =
     twice = written(table.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "twice")
     shared = written(table.join(twice, "a"), "shared-anchors")
     different = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "cnt")).alias("at")), "contexts")
-    copied = different.where("n > 1").select("a", "c")
-    whole = shared.join(copied, ["a", "c"]).select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("cnt") - 1 + length).alias("e"))
+    whole = _in_groups(shared, different.where("n > 1"), ["a", "c"]).select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("cnt") - 1 + length).alias("e"))
     mixed = written(different.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
     unclear = different.join(mixed, "a").select("a", "at.*", (F.col("m") > group_limit).alias("crowded"))
     by_doc = written(unclear.groupBy("key", "crowded").agg(F.collect_list(F.struct("a", "lo", "cnt")).alias("places")), "unclear")
@@ -406,12 +422,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the
     same document or another (rows that repeat a document are other documents). Strings never cross
     documents and are judged on the input. Null text is empty; texts shorter than ``length`` stay.
-    Lowers the session's rows per Arrow batch to BATCH_ROWS.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf.set(name, str(min(BATCH_ROWS, int(conf.get(name)) if int(conf.get(name)) > 0 else BATCH_ROWS)))
     texts = keyed_texts(docs, id_col, text_col)
-    by_doc = written(_merged(repeated_spans(texts.select("key", "text"), length, group_limit)), "spans")
+    with scratch(docs.sparkSession), arrow_rows(docs.sparkSession, ARROW_ROWS):
+        by_doc = written(_merged(repeated_spans(texts.select("key", "text"), length, group_limit)), "spans", keep=True)
     joined = _to_texts(texts, by_doc, "left", may_broadcast=True).select("own", "text", "s", "e")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
