@@ -476,10 +476,33 @@ def test_top_k_matches_brute_force(spark):
         want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:5])]
     assert [tuple(g) for g in got if g.query_id < 100] and sorted(tuple(g) for g in got if g.query_id < 100) == sorted(w for w in want if w[0] < 100)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
-    few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, query_block=1).collect()
+    few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, query_bytes=1).collect()
     assert [x.rank for x in sorted(few, key=lambda x: x.rank)] == [1, 2]
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 25, 100])
+def test_rows_that_repeat_an_id_are_candidates_of_each_other(spark, query_bytes):
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [0.5, 0.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (7, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=3, query_bytes=query_bytes).collect())
+    want = []
+    for i, (q, v) in enumerate(rows[:5]):
+        if q % 50 == 0:
+            s = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w, strict=True)), c) for j, (c, w) in enumerate(rows[:5]) if i != j)
+            want += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s[:3])]
+    assert got == sorted(want)
+
+
+def test_bounds_of_earlier_blocks_lose_nothing(monkeypatch):
+    r = np.random.default_rng(3)
+    q, c = np.floor(r.normal(size=(7, 20)) * 50), np.floor(r.normal(size=(20, 900)) * 50)
+    best = [[] for _ in q]
+    for a in range(0, 900, 100):
+        topk.block_top_k(q, c[:, a : a + 100], np.arange(a, min(a + 100, 900)), 4, best)
+    scores = (q @ c).astype(int)
+    assert best == [sorted((-int(s), i) for i, s in enumerate(row))[:4] for row in scores]
+
+
 # --- 9: url filter -------------------------------------------------------------------------------
 
 URLS = ["http://A.Example.org/es/x", "https://example.org/en/12?x", "http://x.com/fr/", "http://b.com/de/1#t", "example.org/es/", None, "http://", "://org/", "http://notorg/", "http://org", "http://org?q=/", "ftp://u:p@com/fr/a", "http://evilexample.org/es/1", "a://b://example.org/es/"]
@@ -513,8 +536,22 @@ def test_cascade_is_exact_over_its_universe(spark):
     got = {r.key for r in universe.where(c.member(F.col("key"))).collect()}
     assert got == set(keys[:400])
     assert universe.where(urlfilter.build_cascade(listed.where("false"), universe).member(F.col("key"))).count() == 0
-    with pytest.raises(ValueError):
-        urlfilter.build_cascade(listed, universe, max_bits=64)
+
+
+def test_cascade_of_many_keys(spark):
+    universe = spark.range(400_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("substring(key, 2) % 4 = 1")
+    c = urlfilter.build_cascade(listed, universe)
+    assert 64 * sum(x.size for x in c.levels) < 8 * 100_000
+    wrong = universe.where(c.member(F.col("key")) != (F.expr("substring(key, 2) % 4 = 1")))
+    assert wrong.count() == 0
+
+
+def test_hosts_of_many_labels(spark):
+    host = "a." * 20000 + "example.org"
+    df = spark.createDataFrame([(1, f"http://{host}/es/1"), (1, f"http://{host}/es/1"), (2, "http://" + "." * 5000 + "/x")], "page_id long, url string")
+    got = sorted((r.id, r.rule, r.verdict) for r in urlfilter.judge_urls(df, queries.URL_RULES).collect())
+    assert got == [(1, "example.org/es/", "block")] * 2 + [(2, None, "allow")]
 
 
 # --- 10: suffix-array dedup ----------------------------------------------------------------------
