@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import bytekernel as bk
+from .storage import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -27,13 +29,35 @@ _ONES = np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint16))
 Hit = tuple[int, int, int, int, int, float]  # document, item, first word, words, differing bits, similarity
 
 
+def meeting(a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in two lists of block values that differ by one of ``masks``.
+
+    The longer list is put in order of its values, with a table of where each value begins; every value
+    of the shorter one is looked up there with every mask.
+    """
+    if len(a) > len(b):
+        j, i = meeting(b, a, masks)
+        return i, j
+    order = np.argsort(b, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=1 << BLOCK_BITS))])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for x in range(0, len(a), 1024):
+        values = (a[x : x + 1024, None] ^ masks).ravel().astype(np.int64)
+        n = begin[values + 1] - begin[values]
+        hit = np.flatnonzero(n)
+        n = n[hit]
+        at = np.repeat(begin[values[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found.append((np.repeat(hit // len(masks) + x, n), order[at]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 @dataclass
 class SizeGroup:
-    """The items of one number of words, as a multi-index over 16-bit blocks of their fingerprints.
+    """The items of one number of words, with a multi-index over 16-bit blocks of fingerprints.
 
     A fingerprint within the radius of an item's differs in at most radius // 4 bits in one of the
-    four blocks. Each block has a table of the items by its value; looking up all values so near
-    finds every item within the radius. Of unrelated fingerprints about 4 in 100 meet at radius 15.
+    four blocks, so looking up all values so near in each block finds every pair within the radius. Of
+    unrelated fingerprints about 4 in 100 meet at radius 15.
     """
 
     words: int
@@ -45,33 +69,13 @@ class SizeGroup:
 
     def __post_init__(self) -> None:
         self.shingles = self.words - self.shingle + 1
-        masks = np.flatnonzero(_ONES <= self.radius // BLOCKS).astype(np.uint16)
-        parts = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.order = np.argsort(parts, axis=0, kind="stable")
-        self.begin = np.stack([np.searchsorted(np.sort(parts[:, k]), np.arange((1 << BLOCK_BITS) + 1)) for k in range(BLOCKS)])
-        # which values have an item so near; most windows end here
-        self.near = np.zeros((BLOCKS, 1 << BLOCK_BITS), dtype=bool)
-        for k in range(BLOCKS):
-            for value in np.unique(parts[:, k]):
-                self.near[k][masks ^ value] = True
-        self.masks = masks
+        self.masks = np.flatnonzero(_ONES <= self.radius // BLOCKS).astype(np.uint16)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, position in the group, distance) of all pairs within the radius."""
-        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
-        found = [np.zeros(0, np.int64)]
-        for k in range(BLOCKS):
-            asked = np.flatnonzero(self.near[k][parts[:, k]])
-            for a in range(0, len(asked), 1024):
-                some = asked[a : a + 1024]
-                values = (parts[some, k][:, None] ^ self.masks).ravel()
-                begin = self.begin[k][values]
-                n = self.begin[k][values.astype(np.int64) + 1] - begin
-                hit = np.flatnonzero(n)
-                n, begin = n[hit], begin[hit]
-                at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append(np.repeat(some[hit // len(self.masks)], n) * len(self.items) + self.order[at, k])
-        pair = np.unique(np.concatenate(found))
+        asked, own = (x.view(np.uint16).reshape(-1, BLOCKS) for x in (prints, self.prints))
+        met = [meeting(asked[:, k], own[:, k], self.masks) for k in range(BLOCKS)]
+        pair = np.unique(np.concatenate([w * len(self.items) + i for w, i in met]))
         w, i = pair // len(self.items), pair % len(self.items)
         d = np.bitwise_count(prints[w] ^ self.prints[i])
         ok = d <= self.radius
@@ -253,20 +257,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item (see ``contaminated``), with all their columns."""
-    at = docs.columns.index(text_col)
-    for _, index in _blocks(benchmark, item_col, item_text, options):
+    """The rows of ``docs`` that hold no benchmark item (see ``contaminated``), with all their columns,
+    whatever their names. Only the texts go to Python; a verdict per row comes back."""
+    for n, (_, index) in enumerate(_blocks(benchmark, item_col, item_text, options)):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                data, off = bk.text_buffers(batch.column(at))
-                keep = np.ones(len(batch), dtype=bool)
+        def free(texts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
+            for text in texts:
+                data, off = bk.text_buffers(text)
+                keep = np.ones(len(text), dtype=bool)
                 for a, b in bk.doc_chunks(off):
-                    keep[[a + x[0] for x in index.find(data[off[a] : off[b]], off[a : b + 1] - off[a])]] = False
-                yield batch.filter(pa.array(keep))
+                    keep[[a + x[0] for x in shared.value.find(data[off[a] : off[b]], off[a : b + 1] - off[a])]] = False
+                yield pa.array(keep)
             bk.release_memory()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        if n and n % 4 == 0:  # a stage holds the indexes of four blocks at most
+            docs = written(docs, "clean")
+        docs = docs.where(F.arrow_udf(free, "boolean", ArrowUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
     return docs

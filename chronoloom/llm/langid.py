@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import bytekernel as bk
 from .ftrl import Ftrl, Row, probabilities, temperature
+from .storage import ARROW_ROWS, arrow_rows
 
 UNDETERMINED = "und"
 ORDERS = 3
@@ -161,8 +163,9 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_PER_LANGU
     wanted = {r["lang"]: max(LEAST_ROWS, min(per_language, text_bytes * r["n"] // max(r["bytes"] or 0, 1))) / r["n"] for r in counts}
     rates = docs.sparkSession.createDataFrame(list(wanted.items()), "lang string, rate double")
     unit = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = _sample_rows(rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")))
-    n_docs, df = _document_frequency(rows.select("text"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        sample = _sample_rows(rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")))
+        n_docs, df = _document_frequency(rows.select("text"))
     idf = np.where(df > 0, np.log((1 + n_docs) / (1 + df)) + 1.0, 0.0) * SCALE
     data: list[Row] = [(idx, val * idf[idx], number[lang]) for lang, idx, val in sample]
     if len(languages) == 1:
@@ -226,17 +229,17 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, learnable("id"), **options))
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            data, off = bk.text_buffers(batch.column(at))
-            keep = np.zeros(len(batch), dtype=bool)
+        for text in texts:
+            data, off = bk.text_buffers(text)
+            keep = np.zeros(len(text), dtype=bool)
             for a, b in bk.doc_chunks(off) if m is not None else ():
                 best, score = m.score_buffers(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 keep[a:b] = (best >= 0) & (score > least)
-            yield batch.filter(pa.array(keep))
+            yield pa.array(keep)
         bk.release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the texts go to Python; a verdict per row comes back
+    return docs.where(F.arrow_udf(sure, "boolean", ArrowUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .storage import broadcast_if_light, columns_of, numbered, running_total, written
+from .storage import broadcast_if_light, columns_of, numbered, running_total, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -147,22 +147,23 @@ def plan_mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = 11) -> Mix:
     source's share, numbered within the chunk and offset by the chunks before; so no task sees a
     whole source, and the order doesn't depend on partitions.
     """
-    rows = written(rows.select("row", "source", "size", source_key(F.col("source")).alias("skey")), "mix-rows")
-    chunks = max(1, math.ceil(rows.count() / DOCS_PER_CHUNK))
-    rows = rows.withColumn("chunk", _hash(F.lit(seed), F.col("row"), F.col("size")) % chunks)
-    sums = written(rows.groupBy("skey", "source", "chunk").agg(F.sum("size").alias("words")), "mix-chunks")
-    by_source = sums.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
-    sources = written(targets(by_source).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")), "mix-sources")
-    offsets = written(running_total(sums.select("skey", "chunk", "words"), ["skey"], "chunk", "words", "base").drop("words"), "mix-offsets")
-    in_chunk = W.partitionBy("skey", "chunk").orderBy("row", "size")
-    rows = rows.select(
-        "row", "skey", "size", "chunk", F.row_number().over(in_chunk).alias("n"),
-        F.coalesce(F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("local"),
-    )
-    docs = rows.join(offsets, ["skey", "chunk"]).select("row", "skey", "size", "chunk", "n", (F.col("base") + F.col("local")).alias("start"))
-    # written, so that its size is known: an estimate from the few rows of sources would broadcast it
-    drawn = draw_slots(sources, seed).groupBy("skey", "block").agg(F.count("*").alias("times"))
-    return Mix(docs, sources, written(drawn, "mix-drawn"), block)
+    with scratch(rows.sparkSession):
+        rows = written(rows.select("row", "source", "size", source_key(F.col("source")).alias("skey")), "mix-rows", keep=True)
+        chunks = max(1, math.ceil(rows.count() / DOCS_PER_CHUNK))
+        rows = rows.withColumn("chunk", _hash(F.lit(seed), F.col("row"), F.col("size")) % chunks)
+        sums = written(rows.groupBy("skey", "source", "chunk").agg(F.sum("size").alias("words")), "mix-chunks")
+        by_source = sums.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
+        sources = written(targets(by_source).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")), "mix-sources", keep=True)
+        offsets = written(running_total(sums.select("skey", "chunk", "words"), ["skey"], "chunk", "words", "base").drop("words"), "mix-offsets", keep=True)
+        in_chunk = W.partitionBy("skey", "chunk").orderBy("row", "size")
+        rows = rows.select(
+            "row", "skey", "size", "chunk", F.row_number().over(in_chunk).alias("n"),
+            F.coalesce(F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("local"),
+        )
+        docs = rows.join(offsets, ["skey", "chunk"]).select("row", "skey", "size", "chunk", "n", (F.col("base") + F.col("local")).alias("start"))
+        # written, so that its size is known: an estimate from the few rows of sources would broadcast it
+        drawn = draw_slots(sources, seed).groupBy("skey", "block").agg(F.count("*").alias("times"))
+        return Mix(docs, sources, written(drawn, "mix-drawn", keep=True), block)
 
 
 def pieces(mix: Mix) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from . import bytekernel as bk
 from .components import connected_components
-from .storage import broadcast_if_small, columns_of, is_empty, written
+from .storage import ARROW_ROWS, arrow_rows, broadcast_if_small, columns_of, is_empty, scratch, written
 
 SEED = 42
 BLOCK_BITS, BLOCKS = 16, 4
 #: A shard of more fingerprints than this is linked by radius-one balls instead of a tree.
-TREE_LIMIT = 128
+TREE_LIMIT = 1024
 
 
 def fingerprint_buffers(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> np.ndarray:
@@ -164,18 +164,22 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, size: int = 3, id_co
     fingerprint zero and are linked like any other. Repeated rows come out as often as they came
     in. A null id is never a component unless its whole group has none.
     """
-    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
-    return name_groups(rows, distinct, links(distinct.select("fp"), radius))
+    with scratch(docs.sparkSession), arrow_rows(docs.sparkSession, ARROW_ROWS):
+        rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints", keep=True)
+        distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
+        return name_groups(rows, distinct, links(distinct.select("fp"), radius))
 
 
 def name_groups(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, fp, component)`` of ``rows(id, fp)``, from ``distinct(fp, least)`` and edges ``(u, v)`` between fingerprints."""
+    """``(id, fp, component)`` of ``rows(id, fp)``, from ``distinct(fp, least)`` and edges ``(u, v)`` between fingerprints.
+
+    Of the tables written here and before only the names' and the rows' are still needed afterwards.
+    """
     roots = written(connected_components(edges), "roots")
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = written(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    names = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "names")
+    names = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "names", keep=True)
     return rows.join(names, "fp").select("id", "fp", "component")
 
 
@@ -188,8 +192,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     last = F.lit((1 << 63) - 1)
     # the rows themselves are one struct, so their columns may have any names
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(*columns).alias("row"), F.col(text_col).alias("text"), F.struct(*columns).alias("doc"))
-    groups = written(groups_of(keyed.select(F.struct("id", "row").alias("name"), "text"), id_col="name", text_col="text", **options), "groups")
-    kept = written(groups.where("id = component").groupBy("id.id", "id.row").agg(F.count("*").alias("n")), "kept")
+    with scratch(docs.sparkSession):
+        groups = groups_of(keyed.select(F.struct("id", "row").alias("name"), "text"), id_col="name", text_col="text", **options)
+        kept = written(groups.where("id = component").groupBy("id.id", "id.row").agg(F.count("*").alias("n")), "kept", keep=True)
     out = keyed.select("id", "row", "doc").join(broadcast_if_small(kept.select("id", "row"), 32), ["id", "row"], "left_semi")
     if not is_empty(kept.where("n > 1")):
         out = out.dropDuplicates(["id", "row"])
