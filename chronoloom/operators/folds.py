@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from .intervals import points_in
+
 Note = tuple[float, float, int]
 NOTE_SCHEMA = "start double, end double, pitch int"
 
@@ -30,7 +32,7 @@ def by_key(df: DataFrame, fn: Callable[[list[tuple]], Sequence[tuple]], inputs:
     are held at a time, and many small keys cost no more than their rows. Nulls arrive as None.
     """
     wanted = list(dict.fromkeys([key, *inputs, *order]))
-    out = T._parse_datatype_string(f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+    out = T.StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
     fields = to_arrow_schema(out)
     # an explicit number of partitions, as run-time coalescing goes by bytes and these rules cost time
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,6 +63,30 @@ def by_key(df: DataFrame, fn: Callable[[list[tuple]], Sequence[tuple]], inputs:
     return df.select(*wanted).repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
+def together(parts: Sequence[tuple[DataFrame, Sequence[str]]], fn: Callable[..., Sequence[tuple]], schema: str, key: str = "track_id") -> DataFrame:
+    """``fn`` over each key's rows of several tables, one list of tuples for each.
+
+    ``parts`` are tables with the columns to hand over, which also say the rows' order. A key that a
+    table lacks has an empty list there. Rows travel one by one as in ``by_key``; none is repeated for
+    the rows of another table.
+    """
+    rows = None
+    for i, (df, columns) in enumerate(parts):
+        side = [F.struct(*columns).alias(f"p{j}") if i == j else F.lit(None).cast(other.select(F.struct(*names)).schema[0].dataType).alias(f"p{j}") for j, (other, names) in enumerate(parts)]
+        one = df.select(key, F.lit(i).alias("part"), *side)
+        rows = one if rows is None else rows.unionByName(one)
+    names = [f"p{j}" for j in range(len(parts))]
+
+    def run(held: list[tuple]) -> Sequence[tuple]:
+        lists: list[list[tuple]] = [[] for _ in parts_range]
+        for part, *sides in held:
+            lists[part].append(tuple(sides[part].values()))
+        return fn(*lists)
+
+    parts_range = range(len(parts))
+    return by_key(rows, run, ("part", *names), ("part", *names), schema, key)
+
+
 def drop_fragments(notes: list[Note], least: float, touch: float = 0.05, near: int = 2) -> list[Note]:
     """Notes shorter than ``least`` lengthen the last kept note they touch (close in pitch), or go."""
     kept: list[Note] = []
@@ -74,29 +100,18 @@ def drop_fragments(notes: list[Note], least: float, touch: float = 0.05, near: i
     return kept
 
 
-def _sandwiched(pitch: Callable[[int], int], notes: list[Note], i: int, longest: float, near: int, touch: float) -> bool:
-    (_, a_end, _), (s, e, _), (c_start, _, _) = notes[i - 1 : i + 2]
-    outer, own = pitch(i - 1), pitch(i)
-    return e - s <= longest and outer == pitch(i + 1) and 0 < abs(own - outer) <= near and s - a_end < touch and c_start - e < touch
+def _sandwiched(a: Note, b: Note, c: Note, longest: float, near: int, touch: float) -> bool:
+    """Whether ``b`` is a short note between two of one pitch close to its own."""
+    return b[1] - b[0] <= longest and a[2] == c[2] and 0 < abs(b[2] - a[2]) <= near and b[0] - a[1] < touch and c[0] - b[1] < touch
 
 
-def absorb_wiggles(notes: list[Note], longest: float = 0.22, mode: str = "cascade", near: int = 2, touch: float = 0.15) -> list[Note]:
-    """Short notes between two of one pitch take that pitch.
-
-    cascade: a decision sees the pitches already changed; static: the original ones; noalt: static,
-    but a pitch that recurs two notes away stays; off: nothing changes.
-    """
-    if mode not in ("cascade", "static", "noalt", "off"):
-        raise ValueError(f"unknown mode {mode!r}")
-    original = [p for _, _, p in notes]
-    now = list(original)
-    seen = now if mode == "cascade" else original
-    for i in range(1, len(notes) - 1) if mode != "off" else ():
-        if _sandwiched(seen.__getitem__, notes, i, longest, near, touch):
-            recurs = any(0 <= j < len(notes) and original[j] == original[i] for j in (i - 2, i + 2))
-            if not (mode == "noalt" and recurs):
-                now[i] = original[i - 1] if mode != "cascade" else now[i - 1]
-    return [(s, e, p) for (s, e, _), p in zip(notes, now, strict=True)]
+def absorb_wiggles(notes: list[Note], longest: float = 0.22, near: int = 2, touch: float = 0.15) -> list[Note]:
+    """Short notes between two of one pitch take that pitch; a decision sees the pitches already changed."""
+    out = list(notes)
+    for i in range(1, len(notes) - 1):
+        if _sandwiched(*out[i - 1 : i + 2], longest, near, touch):
+            out[i] = (*out[i][:2], out[i - 1][2])
+    return out
 
 
 def weighted_median(values: Sequence[float], weights: Sequence[float]) -> float:
@@ -226,6 +241,18 @@ def split_at(notes: list[Note], onsets: Sequence[float], least: float = 0.12) ->
     return out
 
 
+def split_at_onsets(notes: DataFrame, onsets: DataFrame, least: float = 0.12, key: str = "track_id", pitch: str = "pc") -> DataFrame:
+    """``split_at`` for ``notes(key, note_id, start, end, pitch)`` and ``onsets(key, start)``.
+
+    Onsets meet the notes in a range join, so that a note sees its own alone; note_id tells notes apart.
+    """
+    wide = notes.select(key, "note_id", F.col("start"), F.col("end"))
+    inside = points_in(onsets.select(key, F.col("start").alias("t")), wide, key).where((F.col("t") >= F.col("w_start") + least) & (F.col("t") <= F.col("w_end") - least))
+    kind = notes.schema[pitch].dataType.simpleString()
+    parts = [(notes, ("start", "end", pitch)), (inside.select(F.col("w_note_id").alias("note_id"), "t"), ("t",))]
+    return together(parts, lambda n, t: split_at(n, [x for (x,) in t], least), f"start double, end double, {pitch} {kind}", "note_id")
+
+
 def cut_long(spans: list[tuple[float, float]], times: Sequence[float], levels: Sequence[float], longest: float, least_share: float = 0.4) -> list[tuple[float, float]]:
     """Spans over ``longest`` cut, again and again, at the quietest frame in the later part of the allowance."""
     t = np.asarray(times, dtype=float)

@@ -34,6 +34,34 @@ def merge_same_pitch(notes: DataFrame, key: str = "track_id", pitch: str = "pitc
     return part.groupBy(key, "run", "part", pitch, *extra).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged")).drop("run", "part")
 
 
+def absorb_wiggles(notes: DataFrame, mode: str = "static", longest: float = 0.22, near: int = 2, touch: float = 0.15, key: str = "track_id", pitch: str = "pitch", order: Sequence[str] = NOTE_ORDER) -> DataFrame:
+    """Short notes between two of one pitch take that pitch.
+
+    static: every decision is made on the input; noalt: so too, but a pitch that recurs two notes away
+    stays; cascade: a decision sees the pitches already changed (``folds.absorb_wiggles``, one pass
+    per key); off: nothing changes.
+    """
+    if mode == "off":
+        return notes
+    if mode == "cascade":
+        from .folds import absorb_wiggles as fold
+        from .folds import by_key
+
+        pitch_type = notes.schema[pitch].dataType.simpleString()
+        return by_key(notes, lambda rows: fold(rows, longest, near, touch), ("start", "end", pitch), order, f"start double, end double, {pitch} {pitch_type}", key)
+    if mode not in ("static", "noalt"):
+        raise ValueError(f"unknown mode {mode!r}")
+    w = W.partitionBy(key).orderBy(*order)
+    outer, own = F.lag(pitch).over(w), F.col(pitch)
+    held = (outer == F.lead(pitch).over(w)) & (outer != own) & (F.abs(own - outer) <= near)
+    close = (F.col("start") - F.lag("end").over(w) < touch) & (F.lead("start").over(w) - F.col("end") < touch)
+    taken = (F.col("end") - F.col("start") <= longest) & held & close
+    if mode == "noalt":
+        recurs = [F.coalesce(f(pitch, 2).over(w) == own, F.lit(False)) for f in (F.lag, F.lead)]
+        taken = taken & ~recurs[0] & ~recurs[1]
+    return notes.withColumn("_p", F.when(taken, outer).otherwise(own)).withColumn(pitch, F.col("_p")).drop("_p")
+
+
 def run_lengths(frames: DataFrame, value: str, key: str = "track_id", frame: str = "frame") -> DataFrame:
     """Run-length encoding: ``(key, value, start, end)`` with end exclusive; a null is a value of its own."""
     w = W.partitionBy(key).orderBy(frame)

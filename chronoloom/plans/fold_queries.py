@@ -36,24 +36,24 @@ _L = 'lag({0}) over w as a_{0}, lead({0}) over w as c_{0}'
 _SANDWICH = 'o."end" - o.start <= 20000 and {a} = o.c_pc and o.pc <> {a} and abs(o.pc - {a}) <= 4 and o.start - o.a_end < 86400 and o.c_start - o."end" < 86400'
 _AROUND = """, o as (select *, row_number() over w as n, lag("end") over w as a_end, lag(pc) over w as a_pc, lead(start) over w as c_start, lead(pc) over w as c_pc, lag(pc, 2) over w as a2, lead(pc, 2) over w as c2
   from notes window w as (partition by track_id order by start, "end", note_id))"""
-_WIGGLE = dict(longest=20000.0, near=4, touch=86400.0)
+_WIGGLE = dict(longest=20000.0, near=4, touch=86400.0, pitch="pc")
 
 
 @query(twin(_AROUND + """, r as (select track_id, n, note_id, pc as now from o where n = 1
   union all select o.track_id, o.n, o.note_id, case when """ + _SANDWICH.format(a="r.now") + """ then r.now else o.pc end from r join o on o.track_id = r.track_id and o.n = r.n + 1)
 select o.track_id, o.start, o."end", r.now as pc from r join o on o.track_id = r.track_id and o.n = r.n""", "notes", recursive=True))
 def wiggles_cascade(spark, d):
-    return _fold(spark, d, lambda notes: folds.absorb_wiggles(notes, mode="cascade", **_WIGGLE))
+    return segments.absorb_wiggles(V.notes(spark, d), "cascade", **_WIGGLE)
 
 
 @query(twin(_AROUND + " select track_id, start, \"end\", case when " + _SANDWICH.format(a="o.a_pc") + " then a_pc else pc end as pc from o", "notes"))
 def wiggles_static(spark, d):
-    return _fold(spark, d, lambda notes: folds.absorb_wiggles(notes, mode="static", **_WIGGLE))
+    return segments.absorb_wiggles(V.notes(spark, d), "static", **_WIGGLE).select("track_id", "start", "end", "pc")
 
 
 @query(twin(_AROUND + " select track_id, start, \"end\", case when " + _SANDWICH.format(a="o.a_pc") + " and not coalesce(a2 = pc, false) and not coalesce(c2 = pc, false) then a_pc else pc end as pc from o", "notes"))
 def wiggles_noalt(spark, d):
-    return _fold(spark, d, lambda notes: folds.absorb_wiggles(notes, mode="noalt", **_WIGGLE))
+    return segments.absorb_wiggles(V.notes(spark, d), "noalt", **_WIGGLE).select("track_id", "start", "end", "pc")
 
 
 _PASS = """, c{k} as (select *, sum("end" - start) over (partition by track_id order by p{k}, "end" - start rows unbounded preceding) as run, sum("end" - start) over (partition by track_id) as total from p{k}),
@@ -101,21 +101,29 @@ def settled_runs(spark, d):
     return folds.by_key(runs, lambda rows: folds.settle_runs(rows, 2, 1), ("v", "start", "end"), ("start",), "v int, start int, end int")
 
 
-@query()
+@query(twin(""", c as (select n.note_id, k.start as t, row_number() over (partition by n.note_id order by k.start, k.note_id) as i from notes n join clicks k on k.track_id = n.track_id and k.start >= n.start + 600 and k.start <= n."end" - 600),
+r as (select note_id, 0::bigint as i, 0 as cut, start as last, start as begin, cast(null as double) as stop from notes
+  union all select c.note_id, c.i, case when c.t - r.last >= 600 then 1 else 0 end, case when c.t - r.last >= 600 then c.t else r.last end, r.last, c.t from r join c on c.note_id = r.note_id and c.i = r.i + 1),
+p as (select note_id, begin as start, stop as "end" from r where cut = 1 union all select note_id, arg_max(last, i), cast(null as double) from r group by note_id)
+select p.note_id, p.start, coalesce(p."end", n."end") as "end", n.pc from p join notes n using (note_id)""", "notes", "clicks", recursive=True))
 def split_at_onsets(spark, d):
-    n = V.notes(spark, d)
-    onsets = V.clicks(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("start")).alias("onsets"))
-    joined = n.join(onsets, "track_id", "left")
-    return folds.by_key(joined, lambda rows: [x for s, e, p, o in rows for x in folds.split_at([(s, e, p)], [] if o is None else list(o), 600.0)], (*_NOTE, "onsets"), _ORDER, _OUT)
+    return folds.split_at_onsets(V.notes(spark, d), V.clicks(spark, d), 600.0).select("note_id", "start", "end", "pc")
 
 
-@query()
+@query(twin(""", g as (select *, row_number() over (partition by track_id order by frame) - row_number() over (partition by track_id, price > 30000 order by frame) as g from daily),
+spans as (select track_id, cast(min(frame) as double) as start, max(frame) + 1.0::double as "end" from g where price > 30000 group by track_id, g having max(frame) + 1 - min(frame) >= 3),
+r as (select track_id, start as begin, start as s, "end" as e, false as done from spans
+  union all select r.track_id, r.begin, case when r.e - r.s > 28 then q.cut else r.e end, r.e, r.e - r.s <= 28 from r,
+    lateral (select coalesce(case when c > r.s then c end, r.s + 28) as cut from (select min_by(d.frame, (d.price, d.frame)) as c from daily d where d.track_id = r.track_id and d.frame >= r.s + 0.4 * 28 and d.frame <= r.s + 28)) q where not r.done)
+select track_id, s as start, "end" from (select track_id, s, lead(s) over (partition by track_id, begin order by s) as "end" from r) where "end" is not null""", "daily", recursive=True))
 def cut_long(spark, d):
-    lines = V.daily(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("frame", "price"))).alias("f"))
-    runs = segments.active_runs(V.daily(spark, d).withColumn("t", F.col("frame").cast("double")), F.col("price") > 30000, 1.0, 3.0)
-    spans = runs.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = spans.join(lines, "track_id").select("track_id", "spans", F.col("f.frame").alias("times"), F.col("f.price").alias("levels"))
-    return folds.by_key(joined, lambda rows: [x for spans, t, v in rows for x in folds.cut_long([(r["start"], r["end"]) for r in spans], t, v, 28.0)], ("spans", "times", "levels"), ("track_id",), "start double, end double")
+    frames = V.daily(spark, d).withColumn("t", F.col("frame").cast("double"))
+    runs = segments.active_runs(frames, F.col("price") > 30000, 1.0, 3.0)
+
+    def cut(span_rows, level_rows):
+        return folds.cut_long(span_rows, [t for t, _ in level_rows], [v for _, v in level_rows], 28.0)
+
+    return folds.together([(runs, ("start", "end")), (frames, ("t", "price"))], cut, "start double, end double")
 
 
 @query(twin(""", r as (select track_id, seq, 0 as page, 10 + width as used from items where seq = 1
@@ -178,11 +186,16 @@ def _turn_pairs(spark, d):
     return c.withColumn("before", before).where("before is not null").select(F.col("conv_id").alias("track_id"), "turn", "before", "text")
 
 
-@query("with x as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations) select conv_id, turn, cast(levenshtein(before, text) as bigint) as distance from x where before is not null")
+# DuckDB counts bytes: the table's letters beyond ASCII, fewer than 27, stand in as control characters, a byte each
+_BYTES = "chr(" + ") || chr(".join(str(i) for i in range(1, 32) if i not in (9, 10, 13, 27)) + ")"
+
+
+@query(f"""with a as (select coalesce(string_agg(ch, '' order by ch), '') as f from (select distinct unnest(string_split(text, '')) as ch from conversations) where ch > '~'),
+x as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations)
+select conv_id, turn, cast(levenshtein(translate(before, f, {_BYTES}), translate(text, f, {_BYTES})) as bigint) as distance from x, a where before is not null""")
 def edit_distance(spark, d):
-    """Edits between the bytes of neighbouring turns; the byte view makes the builtin count bytes."""
-    x, y = (F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") for c in ("before", "text"))
-    return _turn_pairs(spark, d).select(F.col("track_id").alias("conv_id"), "turn", F.levenshtein(x, y).cast("long").alias("distance"))
+    """Edits between the characters of neighbouring turns."""
+    return _turn_pairs(spark, d).select(F.col("track_id").alias("conv_id"), "turn", F.levenshtein("before", "text").cast("long").alias("distance"))
 
 
 @query()
@@ -203,17 +216,16 @@ def edit_alignment(spark, d):
 
 
 def _allocated(spark, d, fn):
-    n = V.notes(spark, d)
-    hints = V.clicks(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("start")).alias("hints"))
-    per = n.where("event_type <> 'click'").groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("notes")).join(hints, "track_id")
+    """Every track's hints; a track without notes keeps them."""
+    hints = V.clicks(spark, d).select("track_id", F.col("start").alias("t"))
+    notes = V.notes(spark, d).where("event_type <> 'click'").select("track_id", "start", "end")
 
-    def run(rows):
-        notes, h = rows[0]
-        h = [float(x) for x in h]
-        spans, last = fn([(float(x["start"]), float(x["end"])) for x in notes], h)
+    def run(note_rows, hint_rows):
+        h = [t for (t,) in hint_rows]
+        spans, last = fn(note_rows, h)
         return [(t, s, e, last) for t, (s, e) in zip(h, spans, strict=True)]
 
-    return folds.by_key(per, run, ("notes", "hints"), ("track_id",), "hint double, start double, end double, last int")
+    return folds.together([(notes, ("start", "end")), (hints, ("t",))], run, "hint double, start double, end double, last int")
 
 
 @query()
@@ -240,7 +252,10 @@ def dtw_frames(spark, d):
 
     def run(rows):
         y = np.array([r[1] for r in rows])
-        a, b = np.stack([y[:32], np.ones(32)], axis=1), np.stack([y[32:64], np.ones(len(y[32:64]))], axis=1)
-        return list(enumerate(align.frame_map(align.warp_path(a, b), 32).tolist()))
+        half = len(y) // 2
+        if not half:
+            return []
+        a, b = (np.stack([part, np.ones(len(part))], axis=1) for part in (y[:half], y[half:]))
+        return list(enumerate(align.frame_map(align.warp_path(a, b), half).tolist()))
 
     return folds.by_key(V.wave(spark, d), run, ("frame", "y"), ("frame",), "frame int, mapped double")
