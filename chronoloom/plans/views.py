@@ -55,11 +55,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order is a line; its items are characters laid end to end by quantity."""
+    """One order is a line and a track of its own; its items are characters laid end to end by quantity."""
     li = table(spark, sf_dir, "lineitem")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     total = F.sum("l_quantity").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return li.select(F.lit(1).cast("long").alias("track_id"), F.col("l_orderkey").alias("line"), F.row_number().over(order).alias("ch"), (total - F.col("l_quantity")).alias("from"), total.alias("to"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("width"), F.col("l_suppkey").alias("supp"))
+    return li.select(F.col("l_orderkey").alias("track_id"), F.col("l_orderkey").alias("line"), F.row_number().over(order).alias("ch"), (total - F.col("l_quantity")).alias("from"), total.alias("to"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("width"), F.col("l_suppkey").alias("supp"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ SQL = {
   merged as (select track_id, min(start) as start, max("end") as "end" from grouped group by track_id, g)""",
     "daily": """daily as (select l_returnflag || l_linestatus as track_id, cast(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) as integer) as frame,
   floor(avg(cast(round(l_extendedprice * 100) as bigint))) / 100 as price, count(*) as n from lineitem group by 1, 2)""",
-    "chars": """chars as (select cast(1 as bigint) as track_id, l_orderkey as line,
+    "chars": """chars as (select l_orderkey as track_id, l_orderkey as line,
   cast(row_number() over o as integer) as ch, sum(l_quantity) over (o rows unbounded preceding) - l_quantity as "from", sum(l_quantity) over (o rows unbounded preceding) as "to",
   l_returnflag as label, l_quantity as width, l_suppkey as supp from lineitem
   window o as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate))""",
@@ -119,7 +119,7 @@ SQL = {
   from orders join (select line, max("to") as w, count(*) as n from chars group by line) c on c.line = o_orderkey)""",
     "items": """items as (select l_suppkey as track_id, cast(row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as integer) as seq,
   l_quantity as width from lineitem)""",
-    "wave": """wave as (select vec_id as track_id, cast(i - 1 as integer) as frame, floor(cast(embedding[i] as double) * 1000) / 1000 as y from embeddings, generate_series(1, 64) s(i) where i <= len(embedding))""",
+    "wave": """wave as (select vec_id as track_id, cast(i - 1 as integer) as frame, floor(cast(embedding[i] as double) * 1000) / 1000 as y from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))""",
     "anchors": """anchors as (select track_id, cast(row_number() over (partition by track_id order by real) as integer) as seq, real,
   row_number() over (partition by track_id order by real) * 1000.0::double as display from (select distinct track_id, start as real from windows))""",
     "doc_lines": """doc_lines as (select doc_id, cast(i - 1 as integer) as line_no, string_split(text, chr(10))[i] as text from documents, generate_series(1, 100000) s(i) where i <= len(string_split(text, chr(10))))""",

@@ -83,6 +83,11 @@ def parse(data: bytes) -> tuple[int, list[tuple]]:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The events of all MIDI files under ``path``; unreadable files raise."""
+    return events_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def events_of(files: DataFrame) -> DataFrame:
+    """The events of ``files(path, content)``."""
     schema = to_arrow_schema(EVENT_SCHEMA)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, EVENT_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, EVENT_SCHEMA)
 
 
 def first_tempo_bpm(events: DataFrame) -> DataFrame:
@@ -177,12 +182,16 @@ def _as_varlen(n: int) -> bytes:
     return out
 
 
-def write_files(notes: DataFrame, key: str, path: str, **options) -> None:
-    """One row per key with its MIDI file, as a Parquet table of ``(key, content)`` under ``path``."""
+def files_of(notes: DataFrame, key: str, **options) -> DataFrame:
+    """``(key, content)``: one MIDI file per key of ``notes(key, start, end, pitch)``."""
     from ..operators.folds import by_key
 
-    files = by_key(notes, lambda rows: [(write(rows, **options),)], ("start", "end", "pitch"), ("start", "end", "pitch"), "content binary", key=key)
-    files.write.mode("overwrite").parquet(path)
+    return by_key(notes, lambda rows: [(write(rows, **options),)], ("start", "end", "pitch"), ("start", "end", "pitch"), "content binary", key=key)
+
+
+def write_files(notes: DataFrame, key: str, path: str, **options) -> None:
+    """``files_of`` as a Parquet table under ``path``."""
+    files_of(notes, key, **options).write.mode("overwrite").parquet(path)
 
 
 def tick_deltas(notes: DataFrame, key: str = "track_id", tempo: int = DEFAULT_TEMPO, per_beat: int = 480) -> DataFrame:
