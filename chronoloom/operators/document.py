@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import clock
+from ..functions.text import clock, furigana
 
 BOUND_POS = ("particle", "auxiliary", "suffix")
 
@@ -179,3 +179,27 @@ def ruby_lines(lines: Sequence[Sequence[dict]], block: int = 2) -> str:
         if shown % block == 0:
             body.append("")
     return "\n".join([*readings, *([""] if readings else []), *body, ""])
+
+
+def line_chars(tokens: Sequence[dict]) -> list[dict]:
+    """The characters of a line's tokens with their times; the first of each run of kanji has the run's
+    reading (``ruby``) and how many characters it covers (``ruby_span``)."""
+    out: list[dict] = []
+    for token in tokens:
+        chars = [{"char": c["char"], "start": c["start"], "end": c["end"]} for c in token.get("chars") or ()]
+        if token.get("reading") and not token.get("kana_only", True):
+            for _, ruby, a, b in furigana("".join(c["char"] for c in chars), token["reading"]):
+                if ruby:
+                    chars[a] |= {"ruby": ruby, "ruby_span": b - a}
+        out += chars
+    return out
+
+
+def lyric_rows(lines: DataFrame, backing: DataFrame, key: str = "track_id", line: str = "line") -> DataFrame:
+    """``lines(key, line, text, chars)`` that have characters, with ``row`` (A and B in turn), the first start,
+    the last end, and the ``backing`` text of the same source line, empty ones left out."""
+    kept = lines.where(F.size("chars") > 0)
+    n = F.row_number().over(W.partitionBy(key).orderBy(line))
+    spans = kept.withColumn("row", F.when(n % 2 == 1, "A").otherwise("B")).withColumn("start", F.element_at("chars", 1)["start"]).withColumn("end", F.element_at("chars", -1)["end"])
+    said = backing.where("backing <> ''").select(key, line, "backing")
+    return spans.join(said, [key, line], "left")

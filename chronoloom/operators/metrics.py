@@ -65,14 +65,47 @@ def overall_pitch_metrics(pairs: DataFrame) -> DataFrame:
     return frame.select(*[F.col(c) if c in kept else F.coalesce(F.col(c), F.lit(0).cast(one.schema[c].dataType)).alias(c) for c in one.columns if c != "_all"])
 
 
-def shift_octaves_by_evidence(notes: DataFrame, primary: DataFrame, veto: DataFrame, pitch: str = "p", key: str = "track_id", veto_cents: float = 250.0) -> DataFrame:
-    """Notes whose primary median is an octave off move by it, unless the second median agrees with them."""
+def pitch_spans(windows: DataFrame, notes: DataFrame, key: str = "track_id", pitch: str = "p", least: float = 0.03) -> DataFrame:
+    """``windows(key, start, end)`` with ``span``: how far apart the pitches of the notes are that overlap
+    a window by ``least``; 0 for fewer than two."""
+    pairs = overlap_join(windows.select(key, "start", "end"), notes.select(key, "start", "end", pitch), key)
+    held = pairs.where(F.least("end", "r_end") - F.greatest("start", "r_start") >= least)
+    wide = held.groupBy(key, "start", "end").agg((F.max(f"r_{pitch}") - F.min(f"r_{pitch}")).alias("span"))
+    return windows.join(wide, [key, "start", "end"], "left").withColumn("span", F.coalesce("span", F.lit(0)))
+
+
+def _widening(moves: DataFrame, notes: DataFrame, windows: DataFrame, key: str, pitch: str, least: float) -> DataFrame:
+    """The ``moves(key, note_id, start, end, pitch, to)`` that make any window's span wider.
+
+    Every window that a move touches is met by its notes once; the span after the move is that of the
+    other notes and, if the moved one counts there, of its new pitch.
+    """
+    w = windows.select(key, "start", "end").distinct()
+    touched = overlap_join(moves, w, key).select(key, "note_id", "to", F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    pairs = overlap_join(touched, notes.select(key, "start", "end", pitch, F.col("note_id").alias("other")), key)
+    held = pairs.where(F.least("end", "r_end") - F.greatest("start", "r_start") >= least)
+    after = F.when(F.col("r_other") == F.col("note_id"), F.col("to")).otherwise(F.col(f"r_{pitch}"))
+    spans = held.groupBy(key, "note_id", "start", "end").agg(F.count("*").alias("n"), (F.max(after) - F.min(after)).alias("after"), (F.max(f"r_{pitch}") - F.min(f"r_{pitch}")).alias("before"))
+    return spans.where("n >= 2 and after > before").select(key, "note_id").distinct()
+
+
+def shift_octaves_by_evidence(notes: DataFrame, primary: DataFrame, veto: DataFrame, pitch: str = "p", key: str = "track_id", veto_cents: float = 250.0, guard: DataFrame | None = None, long: float = 0.45, least: float = 0.03) -> DataFrame:
+    """Notes whose primary median is an octave off move by it, unless the second median agrees with them.
+
+    With ``guard(key, start, end)`` a note stays if its move would spread the pitches of any window of
+    at least ``long`` that it touches further apart. Every move is judged on the notes as they come in.
+    """
     a = primary.groupBy(key, "note_id").agg(F.percentile("cents", 0.5).alias("a"))
     b = veto.groupBy(key, "note_id").agg(F.percentile("cents", 0.5).alias("b"))
     joined = notes.join(a, [key, "note_id"], "left").join(b, [key, "note_id"], "left")
     move = octave_like(F.col("a")) & F.coalesce(F.abs("b") > veto_cents, F.lit(True))
-    step = F.when(F.col("a") > 0, 12).otherwise(-12)
-    return joined.withColumn(pitch, F.when(move, F.col(pitch) + step).otherwise(F.col(pitch)).cast(notes.schema[pitch].dataType)).drop("a", "b")
+    to = F.when(move, F.col(pitch) + F.when(F.col("a") > 0, 12).otherwise(-12)).cast(notes.schema[pitch].dataType)
+    joined = joined.withColumn("to", to).drop("a", "b")
+    if guard is not None:
+        moves = joined.where("to is not null").select(key, "note_id", "start", "end", pitch, "to")
+        bad = _widening(moves, notes, guard.where(F.col("end") - F.col("start") >= long), key, pitch, least).withColumn("kept", F.lit(True))
+        joined = joined.join(bad, [key, "note_id"], "left").withColumn("to", F.when(F.col("kept").isNull(), F.col("to"))).drop("kept")
+    return joined.withColumn(pitch, F.coalesce("to", pitch)).drop("to")
 
 
 def fragmentation(notes: DataFrame, windows: DataFrame, spans: DataFrame, key: str = "track_id", pitch: str = "pc", tiny: float = 0.08, jitter: tuple[float, float, int] = (0.80, 0.12, 3), least: float = 0.03, span: float = 0.45) -> DataFrame:

@@ -103,6 +103,15 @@ def line_pages(lines: DataFrame, size: int, key: str = "track_id", tail: float =
     return blocks.select(key, "page", F.greatest("raw", F.coalesce(before, F.col("raw"))).alias("start"), "end", "first_line", "n_lines")
 
 
+def filler_pages(spans: DataFrame, interval: float = 4.0, key: str = "track_id", tail: float = 1.0) -> DataFrame:
+    """``(key, page, start, label)`` for keys without lines: a page every ``interval`` seconds from 0 up to
+    the end of ``spans(key, end)``, and a last mark ``tail`` after that."""
+    pages = spans.select(key, "end", F.ceil(F.greatest(F.col("end"), F.lit(0.0)) / interval).cast("int").alias("n")).select(key, "end", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("page"))
+    last = F.col("page") == F.col("n")
+    label = F.when(last, "END").otherwise(F.format_string("P%02d", F.col("page") + 1))
+    return pages.select(key, "page", F.when(last, F.col("end") + tail).otherwise(F.col("page") * interval).alias("start"), label.alias("label"))
+
+
 def beat_pages(notes: DataFrame, page: float, key: str = "track_id") -> DataFrame:
     """Fixed-period pages over each key's whole span, with the notes that start on each."""
     span = notes.groupBy(key).agg(F.min("start").alias("from"), F.max("end").alias("to"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -86,3 +87,51 @@ def edge_trimmed(start: Column, end: Column, edge: float = 0.05) -> tuple[Column
     """Both ends moved in by the lesser of ``edge`` and a quarter of the span."""
     cut = F.least(F.lit(edge), 0.25 * (end - start))
     return start + cut, end - cut
+
+
+def pitch_class_profile(samples: np.ndarray, rate: int, frame: int = 8192, hop: int = 4096, band: tuple[float, float] = (80.0, 2000.0), top: int = 10) -> np.ndarray | None:
+    """Shares of the twelve pitch classes in a signal; None if no frame has a peak.
+
+    A frame votes with its ``top`` strongest local maxima in the band, weighted by the root of their
+    size, after the common detuning of all peaks (a circular mean) is taken off.
+    """
+    x = np.asarray(samples, dtype=float)
+    if len(x) <= frame:
+        return None
+    hertz = np.fft.rfftfreq(frame, 1 / rate)
+    inside = np.flatnonzero((hertz >= band[0]) & (hertz <= band[1]))
+    window = np.hanning(frame)
+    found: list[np.ndarray] = []
+    starts = np.arange(0, len(x) - frame, hop)
+    for part in np.array_split(starts, -(-len(starts) // 64)):  # a few frames at a time
+        size = np.abs(np.fft.rfft(x[part[:, None] + np.arange(frame)] * window, axis=1))[:, inside]
+        peak = np.zeros(size.shape, dtype=bool)
+        peak[:, 1:-1] = (size[:, 1:-1] > size[:, :-2]) & (size[:, 1:-1] > size[:, 2:])
+        ranked = np.where(peak, size, -1.0)
+        best = np.argsort(ranked, axis=1)[:, -top:]
+        value = np.take_along_axis(ranked, best, axis=1)
+        found.append(np.stack([hertz[inside[best[value > 0]]], value[value > 0]]))
+    hz, weight = np.concatenate(found, axis=1)
+    if not len(hz):
+        return None
+    midi = 69 + 12 * np.log2(hz / 440.0)
+    detuned = np.angle(np.sum(weight * np.exp(2j * np.pi * midi))) / (2 * np.pi)
+    votes = np.bincount(np.rint(midi - detuned).astype(int) % 12, np.sqrt(weight), minlength=12)
+    return votes / votes.sum()
+
+
+def quiet_chunks(samples: np.ndarray, rate: int, longest: float, reach: float = 5.0, margin: float = 1.0, step: float = 0.02) -> list[tuple[int, int]]:
+    """Spans of samples of about ``longest`` seconds, cut at the quietest ``step`` within ``reach`` of
+    where each would end, at least ``margin`` from its start and from the signal's end."""
+    x = np.asarray(samples, dtype=float)
+    size, cell = int(longest * rate), int(step * rate)
+    cuts = [0]
+    while len(x) > cuts[-1] + size and cell:
+        nominal = cuts[-1] + size
+        low, high = max(cuts[-1] + int(margin * rate), nominal - int(reach * rate)), min(len(x) - int(margin * rate), nominal + int(reach * rate))
+        cells = max(high - low, 0) // cell
+        if not cells:
+            break
+        power = np.square(x[low : low + cells * cell]).reshape(cells, cell).mean(axis=1)
+        cuts.append(low + int(np.argmin(power)) * cell)
+    return list(zip(cuts, [*cuts[1:], len(x)], strict=True))

@@ -30,25 +30,37 @@ def pages(events: DataFrame, size: str = "1 day", slide: str | None = None, late
     return events.withWatermark("at", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def running_merge(events: DataFrame, gap_seconds: float) -> DataFrame:
-    """A custom state per user: islands of events, each emitted when a later event closes it.
+def running_merge(events: DataFrame, gap_seconds: float, late: str = "1 hour") -> DataFrame:
+    """A custom state per user: islands of events, each emitted once the watermark has passed its end by the gap.
 
     An event exactly ``gap_seconds`` after the last one still belongs to the island, unlike in a
-    session window.
+    session window. Events wait in the state until the watermark reaches them and are then taken in
+    order, so that those of different batches may arrive in any order within ``late``; older ones are
+    dropped. A user whose islands are all emitted has no state.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (None, None, 0)
+        start, last, n, waiting = state.get if state.exists else (None, None, 0, [])
+        mark = state.getCurrentWatermarkMs() / 1000
+        times = sorted([*(waiting or []), *(t.timestamp() for f in frames for t in f["at"])])
         done = []
-        times = sorted(t.timestamp() for f in frames for t in f["at"])
-        for t in times:
+        for t in [t for t in times if t <= mark]:
             if start is not None and t - last > gap_seconds:
                 done.append((key[0], start, last, n))
                 start, n = None, 0
-            start = t if start is None else start
-            last = t if last is None else max(last, t)
-            n += 1
-        state.update((start, last, n))
+            start, last, n = (t if start is None else start), t, n + 1
+        waiting = [t for t in times if t > mark]
+        if start is not None and mark - last > gap_seconds:
+            done.append((key[0], start, last, n))
+            start, last, n = None, None, 0
+        if start is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((start, last, n, waiting))
+            due = min([*waiting[:1], *([last + gap_seconds] if start is not None else [])])
+            state.setTimeoutTimestamp(max(int(due * 1000), int(mark * 1000)) + 1)
         yield pd.DataFrame(done, columns=["user_id", "start", "end", "n"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, start double, end double, n long", "start double, last double, n long", "append", GroupStateTimeout.NoTimeout)
+    schema = "start double, last double, n long, waiting array<double>"
+    return events.withWatermark("at", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, start double, end double, n long", schema, "append", GroupStateTimeout.EventTimeTimeout)

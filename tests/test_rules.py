@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronoloom.functions import text as X
-from chronoloom.operators import align, cleanup, document, folds, packing, refine, techniques
+from chronoloom.operators import align, cleanup, document, folds, packing, refine, segments, techniques
 from chronoloom.sources import midi, signals
 
 
@@ -19,14 +20,15 @@ def test_fragments_fold_or_drop():
     assert folds.drop_fragments([(1.0, 1.5, 60), (1.52, 1.57, 64)], 0.1) == [(1.0, 1.5, 60)]
 
 
-def test_wiggle_modes():
+def test_wiggle_modes(spark):
     n = [(i * 0.2, i * 0.2 + 0.2, p) for i, p in enumerate([60, 62, 60, 62, 60])]
-    pitches = lambda mode: [p for _, _, p in folds.absorb_wiggles(n, mode=mode)]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(n)], "track_id long, note_id long, start double, end double, pitch int")
+    pitches = lambda mode: [r.pitch for r in segments.absorb_wiggles(df, mode).orderBy("start").collect()]
     assert pitches("cascade") == [60] * 5
     assert pitches("static") == [60, 60, 62, 60, 60]
     assert pitches("noalt") == pitches("off") == [60, 62, 60, 62, 60]
     with pytest.raises(ValueError):
-        folds.absorb_wiggles(n, mode="x")
+        segments.absorb_wiggles(df, "x")
 
 
 def test_runs_settle():
@@ -123,13 +125,11 @@ def test_curve_corrections():
     assert refine.extend_held([(0.0, 0.4, 60), (0.5, 0.6, 60)], curve_of((60, 70)))[0][1] == 0.5
     got = refine.capture_falls([(0.0, 0.4, 60)], curve_of((60, 40), (58, 40), (None, 20)))
     assert got[1][2] == 58 and got[1][0] == pytest.approx(0.4)
-    assert refine.fold_onsets([(0.0, 0.1, 60), (0.1, 0.5, 62)], curve_of((60, 5), (62, 45)), [(0, 1)])[0][2] == 62
     assert refine.snap_to_classes([(0.0, 0.4, 60)], curve_of((60.4, 40)), [1.0, 2.0] + [1.0] * 10) == [(0.0, 0.4, 61)]
     assert refine.choose_pitch(curve_of((60, 15), (65, 25), (60, 15)), 0, 0.55, "plateau", edge=0) == 65
     assert refine.choose_pitch(curve_of((60, 15), (65, 25), (60, 15)), 0, 0.55, "mode", edge=0) == 60
     assert refine.choose_pitch(curve_of((None, 50)), 0, 0.5) is None
     assert refine.reentry_start(1.0, curve_of((None, 70), (60, 60))) == pytest.approx(0.7)
-    assert refine.drop_isolated([(0, 1, 60), (1.5, 2, 60), (9, 10, 60)], [(0, 1)]) == [(0, 1, 60), (1.5, 2, 60)]
 
 
 def test_techniques():
@@ -144,28 +144,90 @@ def test_techniques():
     assert techniques.detect(np.full(100, 60.0), 0.01, [(0.0, 1.0, 60)]) == [] and techniques.detect(wave, 0.01, []) == []
 
 
-def evidence(first, second=None, db=0.0, n=3000):
-    t = np.arange(n) * 0.01
-    a = np.full(n, float(first))
-    return cleanup.Evidence(t, np.full(n, db), a, 0.01, refine.Curve(t, a if second is None else np.full(n, float(second))))
+SUNG = "track_id long, note_id long, start double, end double, pitch int"
 
 
-def test_cleanup_rules():
+def sung(spark, rows, *extra):
+    """Notes of one track; ``extra`` are (name, type, value for all)."""
+    df = spark.createDataFrame([(1, i, *map(float, r[:2]), r[2]) for i, r in enumerate(rows)], SUNG)
+    for name, kind, value in extra:
+        df = df.withColumn(name, F.lit(value).cast(kind))
+    return df
+
+
+def listed(df):
+    return sorted((r.start, r.end, r.pitch) for r in df.collect())
+
+
+def test_onsets_fold_and_isolated_notes_go(spark):
+    frames = spark.createDataFrame([(1, i * 0.01, 60.0 if i < 5 else 62.0) for i in range(50)], "track_id long, t double, midi double")
+    lines = spark.createDataFrame([(1, 0.0, 1.0)], "track_id long, start double, end double")
+    got = refine.fold_onsets(sung(spark, [(0, 0.1, 60), (0.1, 0.5, 62)]), frames, lines)
+    assert listed(got) == [(0.0, 0.1, 62), (0.1, 0.5, 62)]
+    assert listed(refine.fold_onsets(sung(spark, [(0, 0.1, 60), (0.1, 0.5, 62)]), frames, lines.where("false"))) == [(0.0, 0.1, 60), (0.1, 0.5, 62)]
+    notes = sung(spark, [(0, 1, 60), (1.5, 2, 60), (9, 10, 60)])
+    assert listed(refine.drop_isolated(notes, lines)) == [(0.0, 1.0, 60), (1.5, 2.0, 60)]
+    assert listed(refine.drop_isolated(notes, lines.where("false"))) == []
+
+
+def voice(spark, first, second=None, db=0.0, n=3000):
+    rows = [(1, i * 0.01, db, float(first), float(first if second is None else second)) for i in range(n)]
+    return spark.createDataFrame(rows, "track_id long, t double, db double, first double, second double")
+
+
+def test_cleanup_rules(spark):
     slots = [cleanup.Slot(1.0, 2.0, 0), cleanup.Slot(2.0, 3.0, 1)]
     assert cleanup.assign_moras([(1.1, 1.5, 60), (2.1, 2.9, 62), (3.1, 3.2, 60), (9, 10, 60)], slots) == [0, 1, 1, -1]
-    assert cleanup.join_same([(1, 1.2, 60), (1.25, 1.5, 60)], [0, 0]) == [(1, 1.5, 60)]
-    assert cleanup.join_same([(1, 1.2, 60), (1.25, 1.5, 60)], [0, 1]) == [(1, 1.2, 60), (1.25, 1.5, 60)]
-    assert cleanup.one_pitch_each([(1.0, 1.6, 60), (1.62, 1.9, 62)], [0, 0], slots) == [(1.0, 1.9, 60)]
-    assert cleanup.one_pitch_each([(1.0, 1.6, 60), (1.62, 1.9, 66)], [0, 0], slots) == [(1.0, 1.6, 60), (1.62, 1.9, 66)]
-    assert cleanup.one_pitch_each([(1.0, 1.9, 60), (1.95, 2.9, 62)], [0, 0], slots) == [(1.0, 1.9, 60)]
+    in_mora = [("mora", "int", 0), ("slot_start", "double", 1.0), ("slot_end", "double", 2.0), ("support", "double", 1.0), ("level", "double", 0.0)]
+    one = lambda rows, supported=False: listed(cleanup.one_pitch_each(sung(spark, rows, *in_mora), supported))
+    assert one([(1.0, 1.6, 60), (1.62, 1.9, 62)]) == [(1.0, 1.9, 60)]
+    assert one([(1.0, 1.6, 60), (1.62, 1.9, 66)]) == [(1.0, 1.6, 60), (1.62, 1.9, 66)]
+    assert one([(1.0, 1.9, 60), (1.95, 2.9, 62)]) == [(1.0, 1.9, 60)]
+    assert one([(1.0, 1.1, 61), (1.15, 1.2, 61), (1.25, 1.8, 60), (1.85, 1.95, 59), (1.99, 2.0, 60)], True) == [(1.0, 1.1, 61), (1.15, 2.0, 60)]
     low = [(i * 1.0, i + 0.9, 60) for i in range(20)]
-    notes = sorted([*low, (25.0, 25.5, 84)])
-    assert (25.0, 25.5, 72) in cleanup.lower_octaves(notes, evidence(84, 72))
-    assert cleanup.lower_octaves(notes, None) == notes
-    assert cleanup.drop_phantoms([(1, 1.5, 60), (9, 9.5, 60)], [0, -1], evidence(60)) == [(1, 1.5, 60)]
-    assert cleanup.drop_phantoms([(9, 9.5, 60)], [-1], None) == [(9, 9.5, 60)]
-    assert cleanup.real_melismas([(1, 1.5, 60), (1.5, 1.9, 70)], [0, 0], evidence(60)) == [(1, 1.5, 60)]
-    assert cleanup.clean([(1.0, 1.9, 60), (9, 9.5, 50)], slots, evidence(60)) == [(1.0, 1.9, 60)]
+    high = sung(spark, [*low, (25, 25.5, 84)])
+    assert (25.0, 25.5, 72) in listed(cleanup.lower_octaves(cleanup.evidence_of(high, voice(spark, 84, 72), 0.01)))
+    assert (25.0, 25.5, 84) in listed(cleanup.lower_octaves(cleanup.evidence_of(high, voice(spark, 84), 0.01)))
+    weak = [("mora", "int", -1), ("support", "double", 1.0), ("level", "double", 0.0)]
+    assert listed(cleanup.drop_phantoms(sung(spark, [(9, 9.5, 60)], *weak))) == []
+    known = cleanup.evidence_of(sung(spark, [(1, 1.5, 60), (1.5, 1.9, 70)]), voice(spark, 60), 0.01).withColumn("mora", F.lit(0))
+    assert listed(cleanup.real_melismas(known)) == [(1.0, 1.5, 60)]
+    table = spark.createDataFrame([(1, *s) for s in slots], "track_id long, start double, end double, char int")
+    assert listed(cleanup.clean(sung(spark, [(1, 1.9, 60), (9, 9.5, 50)]), table, voice(spark, 60))) == [(1.0, 1.9, 60)]
+    assert listed(cleanup.clean(sung(spark, [(1, 1.9, 60), (9, 9.5, 50)]), table, None)) == [(1.0, 1.9, 60), (9.0, 9.5, 50)]
+
+
+def growing_span(notes, slot, supported):
+    """Variants absorbed one after the other, for comparison."""
+    weight = [((e - s), max(0.0, min(e, slot[1]) - max(s, slot[0]))) for s, e, _ in notes]
+    main = max(range(len(notes)), key=lambda i: weight[i] if supported else weight[i][::-1])
+    lo, hi, p = notes[main]
+    out = []
+    for i, (s, e, q) in enumerate(notes):
+        if i == main or abs(q - p) > 3:
+            out += [(s, e, q)] if i != main else []
+        elif q != p and i > main and weight[i][1] / max(e - s, 1e-6) < 0.5:
+            pass
+        elif max(s - hi, lo - e, 0.0) <= 0.12:
+            lo, hi = min(lo, s), max(hi, e)
+        else:
+            out.append((s, e, q))
+    return sorted([*out, (lo, hi, p)])
+
+
+def test_windows_grow_spans_like_a_walk(spark):
+    r = random.Random(6)
+    cases = []
+    for _ in range(150):
+        notes = sorted({(round(s := r.uniform(0.5, 2.6), 2), round(s + r.uniform(0.02, 0.7), 2), 60 + r.randrange(6)) for _ in range(r.randrange(1, 8))})
+        cases.append(notes)
+    rows = [(k, i, *n, 0, 1.0, 2.0, 1.0, 0.0) for k, notes in enumerate(cases) for i, n in enumerate(notes)]
+    df = spark.createDataFrame(rows, SUNG + ", mora int, slot_start double, slot_end double, support double, level double")
+    for supported in (True, False):
+        got = {}
+        for x in cleanup.one_pitch_each(df, supported).collect():
+            got.setdefault(x.track_id, []).append((x.start, x.end, x.pitch))
+        assert {k: sorted(v) for k, v in got.items()} == {k: growing_span(notes, (1.0, 2.0), supported) for k, notes in enumerate(cases)}
 
 
 def test_patches():
@@ -182,14 +244,19 @@ def test_patches():
 
 
 def test_text_functions():
-    for romaji, kana in [("tokyo", "ときょ"), ("kitte", "きって"), ("shin'ya", "しんや"), ("ganbatte", "がんばって"), ("chotto", "ちょっと"), ("tsuki", "つき"), ("fuji", "ふじ"), ("disuko", "でぃすこ"), ("x!", ""), ("konnichiha", "こんにちは")]:
+    for romaji, kana in [("tokyo", "ときょ"), ("kitte", "きって"), ("shin'ya", "しんや"), ("ganbatte", "がんばって"), ("chotto", "ちょっと"), ("tsuki", "つき"), ("fuji", "ふじ"), ("disuko", "でぃすこ"), ("x!", ""), ("konnichiha", "こんにちは"), ("hon wo", "ほを"), ("hon", "ほん"), ("san-ji", "さじ"), ("konna", "こんな")]:
         assert X.romaji_to_kana(romaji) == kana
-    assert X.normal_kana("カード abc ガッー") == "かあどがっう"
     assert X.furigana("待ち続け", "まちつづけ") == [("待", "ま", 0, 1), ("ち", None, 1, 2), ("続", "つづ", 2, 3), ("け", None, 3, 4)]
     assert X.furigana("青い", "ブルー") == [("青い", "ブルー", 0, 2)] and X.furigana("青", None) == [("青", None, 0, 1)]
     assert X.is_odd_token("abc!") and not X.is_odd_token("カ")
 
 
+def test_normal_kana(spark):
+    texts = ["カード abc ガッー", "ーきーーょー", "んーヴー", "ラーーメン", "", None, "ゔーa"]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    assert [r[0] for r in df.select(X.normal_kana(F.col("s"))).collect()] == ["かあどがっう", "きいいょお", "んんゔあ", "らああめん", "", None, "ゔあ"]
+
+
 def test_chunks_settle():
     tok = lambda c, s, n, pos="noun", punct=False: (c, s, s + 0.5, n, pos, punct)
     assert document.settle_chunks([tok(0, 0, 5), tok(1, 1, 1, "particle"), tok(1, 2, 5)]) == [0, 0, 1]
@@ -301,5 +368,6 @@ def test_aligner_words():
     assert X.aligner_words(list("きょうは")) == (["kyo", "u", "ha"], [[0, 1], [2], [3], [4, 5]])
     assert X.aligner_words(list("がっこう")) == (["ga", "kko", "u"], [[0, 1], [2], [3, 4], [5]])
     assert X.aligner_words(list("カード")) == (["ka", "a", "do"], [[0, 1], [2], [3, 4]])
+    assert X.aligner_words(list("あゃ"))[0] == ["a", "ya"] and X.aligner_words(list("ゅ"))[0] == ["yu"]
     assert X.aligner_words(list("OKっ")) == (["ok"], [[0], [1], []])
     assert X.aligner_words(["し", "ゅ", "ふ", "ぁ", "つ"])[0] == ["shu", "fa", "tsu"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from chronoloom.functions import pitch as P
+from chronoloom.functions import tables as table_functions
 from chronoloom.functions import text as X
 from chronoloom.operators import asof, document, folds, intervals, metrics, segments, signal
 from chronoloom.plans import queries as library
@@ -143,6 +144,30 @@ def test_streams(spark, tiny, tmp_path):
     assert drained(stream.running_merge(events, 3600.0), "merged", "append").where("end < start or n < 1").count() == 0
 
 
+def test_running_merge_takes_late_events_in_order(spark, tmp_path):
+    src = tmp_path / "in"
+    base = "timestamp_ntz'2024-01-01 00:00:00'"
+    batches = [[(1, 0), (1, 100), (2, 50)], [(1, 60), (1, 400)], [(2, 60), (1, 5000)], [(3, 20000)], [(3, 20001)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(k, u, s) for k, (u, s) in enumerate(rows)], "event_id long, user_id long, s int")
+        df = df.selectExpr("event_id", f"{base} + make_interval(0,0,0,0,0,0,s) as ts", "user_id", "'x' as event_type", "1.0D as value", "'' as props")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+    q = stream.running_merge(stream.event_stream(spark, str(src)), 100.0, "10 minutes").writeStream.format("memory").queryName("late_merge").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    zero = spark.sql(f"select unix_timestamp({base})").first()[0]
+    got = sorted((r.user_id, round(r.start - zero), round(r.end - zero), r.n) for r in spark.table("late_merge").collect())
+    assert [g for g in got if g[1] < 4000] == [(1, 0, 100, 3), (1, 400, 400, 1), (2, 50, 60, 2)]
+
+
+def test_table_functions(spark):
+    table_functions.register(spark)
+    assert [tuple(r) for r in spark.sql("select * from furigana('待ち', 'まち')").collect()] == [("待", "ま", 0, 1), ("ち", None, 1, 2)]
+    rows = spark.sql("select t.id, m.* from values (1, 'きょう'), (2, '') as t(id, kana), lateral morae(t.kana) as m").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "きょ"), (1, 1, "う")]
+
+
 def _normal(v):
     if isinstance(v, float) and math.isnan(v):
         return None
