@@ -228,11 +228,6 @@ def _allocated(spark, d, fn):
     return folds.together([(notes, ("start", "end")), (hints, ("t",))], run, "hint double, start double, end double, last int")
 
 
-@query()
-def alloc_greedy(spark, d):
-    return _allocated(spark, d, align.allocate_greedy)
-
-
 @query()
 def alloc_dp(spark, d):
     return _allocated(spark, d, align.allocate_best)
