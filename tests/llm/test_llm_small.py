@@ -230,7 +230,7 @@ def five_word_sets(texts):
     return [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in split]
 
 
-@pytest.mark.parametrize("reach", [32, 1])
+@pytest.mark.parametrize("reach", [32, 4, 1])
 def test_similar_groups_match_brute_force(spark, reach):
     r = random.Random(8)
     texts = [None, "", "one", "One", "two words", words(400, 9)]
