@@ -28,7 +28,7 @@ SHARD_TOKENS = 1 << 19
 PIECE_CHARS = 1 << 20
 #: Bytes of texts whose words are looked up together, and about how many the cache of words may take. The
 #: cache lives as long as its Python worker, so that later tasks find the words of earlier ones.
-CHUNK_BYTES, CACHE_BYTES = 2 << 20, 24 << 20
+CHUNK_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
 MAGIC = b"RPG2"
 #: By how much the least count of replaced pairs falls from round to round.
 FALL = 32
@@ -417,7 +417,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, id_col: str =
             yield shard()
         bk.release_memory()
 
-    with arrow_rows(spark, ARROW_ROWS):
+    with arrow_rows(spark, 4 * ARROW_ROWS):
         ordered.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(path)
 
 
