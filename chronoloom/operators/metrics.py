@@ -187,12 +187,13 @@ def relabel_by_second_opinion(notes: DataFrame, events: DataFrame, pitch: str =
     """Notes take the pitch of the strongest event nearby if it beats the events that agree with them.
 
     An event counts if it overlaps at least 0.3 of the shorter duration; its score is its confidence
-    times the covered share of the note. Ties go to the earliest event.
+    times the covered share of the note, all of it if the note has no length. Ties go to the earliest event.
     """
     pairs = overlap_join(notes, events.select(key, "start", "end", "event_pitch", "conf", "event_no"), key)
     ov = F.least("end", "r_end") - F.greatest("start", "r_start")
     dur, edur = F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start")
-    scored = pairs.where(ov >= 0.3 * F.least(dur, edur)).withColumn("s", F.col("r_conf") * F.least(F.lit(1.0), ov / dur)).withColumn("d", F.abs(F.col("r_event_pitch") - F.col(pitch)))
+    share = F.when(dur == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(ov, dur)))
+    scored = pairs.where(ov >= 0.3 * F.least(dur, edur)).withColumn("s", F.col("r_conf") * share).withColumn("d", F.abs(F.col("r_event_pitch") - F.col(pitch)))
     other = (F.col("d") >= 1) & (F.col("d") <= far)
     names = notes.columns
     best = scored.groupBy(*names).agg(

@@ -188,6 +188,27 @@ def test_query_equals_its_twin(spark, tiny, name):
     assert a == b
 
 
+def same_as_twin(spark, folder, name, events):
+    """``events``: (event_id, microseconds after 2024, user_id, event_type, value, k)."""
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    for i, us, user, kind, value, k in events:
+        con.execute("insert into events values (?, make_timestamp(1704067200000000 + ?::bigint), ?, ?, ?, ?)", [i, us, user, kind, value, json.dumps({"k": k})])
+    con.execute(f"copy events to '{folder}/events.parquet' (format parquet)")
+    got = __spark_entry__.queries()[name](spark, str(folder))
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    rows = sorted(repr([_normal(v) for v in r]) for r in want.fetchall())
+    assert sorted(repr([_normal(r[c]) for c in columns]) for r in got.collect()) == rows
+    return rows
+
+
+def test_a_note_without_length_is_relabelled(spark, tmp_path):
+    minute = 60_000_000
+    events = [(0, 0, 1, "error", 50.0, 5), (1, 10 * minute, 1, "view", 0.0, 1), (2, 10 * minute, 2, "view", 0.0, 1), (100, 0, 1, "click", 30.0, 9), (3, 20 * minute, 1, "view", 0.004, 5)]
+    assert same_as_twin(spark, tmp_path, "second_opinion_relabel", events) == ["[1, 45]", "[2, 37]", "[3, 45]"]
+
+
 @pytest.mark.parametrize("name", sorted(set(library.queries()) - set(library.oracle_sql())))
 def test_query_without_twin_runs(spark, tiny, name):
     rows = __spark_entry__.queries()[name](spark, tiny).collect()
