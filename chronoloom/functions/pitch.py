@@ -37,7 +37,8 @@ def octave_folded(semitones: Column) -> Column:
 
 
 def ticks_of(seconds: Column, tempo_us: int = 500_000, per_beat: int = 480) -> Column:
-    return F.rint(seconds * 1e6 * per_beat / tempo_us).cast("long")
+    # one factor, as in the files: with several steps times halfway between two ticks round otherwise
+    return F.rint(seconds * (1e6 * per_beat / tempo_us)).cast("long")
 
 
 def seconds_of(ticks: Column, tempo_us: int = 500_000, per_beat: int = 480) -> Column:

@@ -209,6 +209,18 @@ def test_a_note_without_length_is_relabelled(spark, tmp_path):
     assert same_as_twin(spark, tmp_path, "second_opinion_relabel", events) == ["[1, 45]", "[2, 37]", "[3, 45]"]
 
 
+@pytest.mark.parametrize("name", ["midi_deltas", "midi_fifo"])
+def test_ticks_round_as_in_sql(spark, tmp_path, name):
+    half = 45_000_000  # half a tick
+    events = [(i, half * (2 * i + 1), i % 3, "view", (i % 5) * 3.75, i) for i in range(400)] + [(400 + i, -half * 7 * i, 7, "view", 60.0 * i, i) for i in range(1, 5)]
+    assert len(same_as_twin(spark, tmp_path, name, events)) == len(events)
+
+
+def test_deltas_of_notes_without_times(spark, tmp_path):
+    events = [(0, None, 1, "view", 5.0, 1), (1, 10**9, 1, "view", 5.0, 1), (2, 2 * 10**9, 1, "view", None, 1), (3, 2 * 10**9, 1, "view", 5.0, 1), (None, 3 * 10**9, 1, "view", 5.0, 1)]
+    assert len(same_as_twin(spark, tmp_path, "midi_deltas", events)) == 4
+
+
 @pytest.mark.parametrize("name", sorted(set(library.queries()) - set(library.oracle_sql())))
 def test_query_without_twin_runs(spark, tiny, name):
     rows = __spark_entry__.queries()[name](spark, tiny).collect()
