@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -94,6 +95,25 @@ class BKTree:
                 stack += [c for k in range(d - radius, d + radius + 1) if (c := child.get(k)) is not None]
         return found
 
+    def nearest(self, value: int, count: int, fits: Callable[[int], bool]) -> list[int]:
+        """Places, in the order of adding, of the ``count`` nearest values whose place fits, nearest first; all, if fewer."""
+        best: list[tuple[int, int]] = []
+        worst, stack = 65, [(0, 0)] if self.values else []
+        while stack:
+            least, at = stack.pop()
+            if least >= worst:
+                continue
+            d = (self.values[at] ^ value).bit_count()
+            if d < worst and fits(at):
+                insort(best, (d, at))
+                if len(best) >= count:
+                    del best[count:]
+                    worst = best[-1][0]
+            child = self.children[at]
+            if child:
+                stack += sorted(((abs(k - d), c) for k, c in child.items()), reverse=True)
+        return [at for _, at in best]
+
 
 def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning set of links between the values within ``radius`` of each other."""

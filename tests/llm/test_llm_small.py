@@ -257,6 +257,67 @@ def test_similar_groups_match_brute_force(spark, reach):
     assert {x.id: x.component for x in got} == {i: find(i) for i in range(len(texts))}
 
 
+def test_bk_tree_finds_the_nearest_that_fit():
+    r = random.Random(5)
+    values = [r.getrandbits(64) for _ in range(60)]
+    values += [v ^ (1 << r.randrange(64)) for v in values for _ in range(3)] + values[:9]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for q in [*values[:40], 0, (1 << 64) - 1]:
+        for count in (1, 2, 7, 1000):
+            got = tree.nearest(q, count, lambda at: at % 3 > 0)
+            want = sorted((q ^ v).bit_count() for at, v in enumerate(values) if at % 3)[:count]
+            assert [(q ^ values[at]).bit_count() for at in got] == want
+            assert len(set(got)) == len(got) and all(at % 3 for at in got)
+
+
+@pytest.mark.parametrize("limit", [256, 8])
+def test_trees_of_lists_pair_the_nearest_and_name_what_is_left(limit):
+    r = random.Random(6)
+    rows = [(s, 100 * s + i, 20, 0, r.getrandbits(64) - (1 << 63), 100 * s + i) for s, size in enumerate((1, 2, 3, 40)) for i in range(size)]
+    got = list(neardup.tree_pairs(rows, 0.8, 2, limit))
+    pairs = [(u, v) for u, v, s in got if s is None]
+    assert [s for _, _, s in got if s is not None] == [3]  # lists of three are whole
+    assert {p for p in pairs if p[0] < 300} == {(100, 101), (200, 201), (200, 202), (201, 202)}
+    sims = {row[1]: row[4] & (1 << 64) - 1 for row in rows}
+    assert len(pairs) == len(set(pairs))
+    if limit == 256:
+        assert len(pairs) == 4 + 2 * 40 - 3
+        for i in range(302, 340):
+            two = sorted((sims[i] ^ sims[j]).bit_count() for j in range(300, i))[:2]
+            assert sorted((sims[i] ^ sims[u]).bit_count() for u, v in pairs if v == i) == two
+    joined = [(*row[:5], 1) if row[0] == 3 and row[1] < 339 else row for row in rows]
+    left = [(u, v) for u, v, s in neardup.tree_pairs(joined, 0.8, 2, limit) if s is None and u >= 300]
+    assert len(left) == 2 and all(v == 339 for _, v in left)
+    assert not list(neardup.tree_pairs([(0, i, 20, 17, 0, i) for i in range(3)], 0.8, 2, limit))  # too little left after the shared shingle
+
+
+def test_near_copies_are_proposed_by_simhash(spark):
+    """Of a cluster in which most texts are too far apart, the first round already links each pair of close ones."""
+    r = random.Random(9)
+    base, texts = words(150, 1).split(), []
+    for i in range(30):
+        w = list(base)
+        for at in r.sample(range(10, 150, 7), 8):
+            w[at] = f"x{i}at{at}"
+        texts += [" ".join(w), " ".join([*w[:-1], f"last{i}"])]
+    order = r.sample(range(60), 60)
+    docs = documents(spark, [(order[i], t) for i, t in enumerate(texts)]).selectExpr("doc_id as id", "text")
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    prints = neardup._prints(docs, none, 0.8, 5).cache()
+    sets = neardup.shingle_sets(*text_arrays(texts))
+    sims = {x.id: x.sim for x in prints.collect()}
+    for i, s in enumerate(sets):
+        ones = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        assert sims[order[i]] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(s))
+    postings = prints.selectExpr("fp", "n", "sim", "posexplode(prefix) as (pos, s)")
+    pairs = {(x.u, x.v) for x in neardup._near_in_lists(postings, 0.8, 2).where("s is null").collect()}
+    fps = {x.id: x.fp for x in prints.collect()}
+    twins = {tuple(sorted((fps[order[i]], fps[order[i + 1]]))) for i in range(0, 60, 2)}
+    assert twins <= pairs
+
+
 def test_pipeline_removes_loose_copies(spark, tiny):
     import corpus_pipeline as cp
 
