@@ -26,9 +26,10 @@ END_ID = 1
 SHARD_TOKENS = 1 << 19
 #: Texts are cut into pieces of about so many characters, at white space.
 PIECE_CHARS = 1 << 20
-#: Bytes of texts whose words are looked up together, and about how many the cache of words may take. The
-#: cache lives as long as its Python worker, so that later tasks find the words of earlier ones.
-CHUNK_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
+#: Bytes of texts whose words are looked up together, and about how many the cache of words may take, of
+#: which a word takes PIECE_BYTES besides its own and its ids'. The cache lives as long as its Python
+#: worker, so that later tasks find the words of earlier ones.
+CHUNK_BYTES, CACHE_BYTES, PIECE_BYTES = 8 << 20, 64 << 20, 80
 MAGIC = b"RPG2"
 #: By how much the least count of replaced pairs falls from round to round.
 FALL = 32
@@ -50,16 +51,34 @@ def _by_words(config: dict) -> bool:
     )
 
 
+def _runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``size`` from ``start`` in ``flat`` one after the other, where each ends)."""
+    stop = np.cumsum(size)
+    at = np.repeat(start - stop + size, size)
+    at += np.arange(len(at))
+    return flat[at], stop
+
+
+def _spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``which`` one after the other, where each ends), ``flat`` being runs of ``sizes``."""
+    return _runs(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
+
+
+def _strings(column: pa.StringArray, rows: np.ndarray) -> list[str]:
+    return column.take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library, each different word once.
 
     Where a vocabulary drops white space and never joins across it (``_by_words``), a text's ids are
     its words' ids one after the other. Texts are lower-cased as the library does it, letter by letter;
-    the words of many texts are numbered by an Arrow dictionary, and only the different ones are
-    looked at here. A word of letters, with or without a run of ASCII punctuation after it, is one or
-    two pieces to the library's BPE model; any other word goes through the whole tokenizer. A text
-    that isn't in normal form C, or holds a special token or one of a few controls, is encoded whole,
-    and so is every text with any other kind of vocabulary.
+    the words of many texts are numbered by an Arrow dictionary, and the different ones are cut into
+    pieces, which are looked up all at once among those of earlier texts. Only pieces not found there
+    go through the library. A word of letters, with or without a run of ASCII punctuation after it, is
+    one or two pieces to the library's BPE model; any other word goes through the whole tokenizer. A
+    text that isn't in normal form C, or holds a special token or one of a few controls, is encoded
+    whole, and so is every text with any other kind of vocabulary.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -71,8 +90,7 @@ class Encoder:
         config = json.loads(vocabulary)
         self.by_words = _by_words(config)
         self.odd = [*_CONTROLS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
+        self._remember(pa.array([""], pa.string()), np.zeros(0, self.kind), np.zeros(1, np.int64))
         if self.by_words:
             # the model alone, for pieces that are written as the model has them
             self.model = Tokenizer(self.tokenizer.model)
@@ -83,6 +101,7 @@ class Encoder:
             pieces = ByteLevel(add_prefix_space=False, use_regex=False)
             # how the library writes each byte; every byte occurs in some valid text but for those that no text holds
             self.byte_names = {b: pieces.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+            del self.byte_names[0x20]  # it stands between pieces
             for c in [chr(i) for i in range(0x80, 0x800)] + [chr(i << 12 | 0x0800 & 0xFFF) for i in range(16) if not 0xD <= i <= 0xD] + [chr(i << 16) for i in range(1, 17)]:
                 for byte, name in zip(c.encode(), pieces.pre_tokenize_str(c)[0][0], strict=True):
                     self.byte_names[byte] = name
@@ -90,43 +109,69 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.cached += 180 + 2 * len(word) + len(ids)
+    def _remember(self, pieces: pa.StringArray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Make the cache of ``pieces``, the empty one first, whose ids are runs of ``sizes`` in ``flat``."""
+        self.known, self.flat, self.sizes = pieces, flat, sizes
+        self.cached = pieces.nbytes + flat.nbytes + PIECE_BYTES * len(pieces)
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Where the cache is over its bytes, it keeps only the pieces at ``used``, or none if those are too many."""
         if self.cached > CACHE_BYTES:
-            self.cache, self.cached = {}, 180 + 2 * len(word) + len(ids)
-        self.cache[word] = ids
+            used = np.append(0, used[used > 0])
+            self._remember(self.known.take(pa.array(used)), _spread(self.flat, self.sizes, used)[0], self.sizes[used])
+        if self.cached > CACHE_BYTES:
+            self._remember(pa.array([""], pa.string()), self.flat[:0], self.sizes[:1])
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces, by the library's model."""
-        out: dict[str, bytes] = {}
-        width = self.kind.itemsize
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece), by the library's model."""
+        parts = []
         for a in range(0, len(pieces), 512):
-            some = pieces[a : a + 512]
-            names = [p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_names) for p in some]
-            ids = np.array(self.model.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                raise ValueError("the vocabulary does not end every word in its suffix")
-            raw = ids.astype(self.kind).tobytes()
-            ends *= width
-            out.update(zip(some, [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of different lower-cased words."""
-        split = []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            split.append((core, w[len(core) :]) if core.isalpha() else (w, None))
-        have = {p: self.cache[p] for pair in split for p in pair if p and p in self.cache}
-        new = self._pieces(list({p: None for pair in split if pair[1] is not None for p in pair if p and p not in have}))
-        new |= {w: self._whole(w) for w, tail in split if tail is None and w and w not in have}
-        for word, ids in new.items():
-            if len(word) <= 64:
-                self._keep(word, ids)
-        have |= new
-        have[""] = b""
-        return [have[core] + have[tail] if tail else have[core] for core, tail in split]
+            names = " ".join(pieces[a : a + 512])
+            if not names.isascii():
+                names = names.encode().decode("latin-1").translate(self.byte_names)
+            parts.append(np.array(self.model.encode_batch_fast([names], add_special_tokens=False)[0].ids, dtype=self.kind))
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.kind)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(pieces) or len(ids) and ends[-1] != len(ids):
+            raise ValueError("the vocabulary does not end every word in its suffix")
+        return ids, np.diff(ends, prepend=0)
+
+    def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
+        """Where different pieces are in the cache, which takes in those that are new to it."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            where = np.flatnonzero(new)
+            words = _strings(pieces, where)
+            plain = np.fromiter((w.isalpha() or not w.rstrip(_TAIL) for w in words), bool, len(words))
+            where = np.concatenate([where[plain], where[~plain]])
+            flat, sizes = self._pieces([w for w, p in zip(words, plain.tolist(), strict=True) if p])
+            odd = [self._whole(w) for w, p in zip(words, plain.tolist(), strict=True) if not p]
+            flat = np.concatenate([self.flat, flat, np.frombuffer(b"".join(odd), dtype=self.kind)])
+            sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, odd), np.int64, len(odd)) // self.kind.itemsize])
+            at[where] = len(self.known) + np.arange(len(where))
+            self._remember(pa.concat_arrays([self.known, pieces.take(pa.array(where))]), flat, sizes)
+        return at
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of different lower-cased words."""
+        core = pc.ascii_rtrim(words, characters=_TAIL)
+        letters = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False).copy()
+        wide = np.flatnonzero(~pc.string_is_ascii(core).to_numpy(zero_copy_only=False))
+        letters[wide] = [w.isalpha() for w in _strings(core, wide)]
+        tailed = np.flatnonzero(letters & (pc.binary_length(core).to_numpy() < pc.binary_length(words).to_numpy()))
+        tails = [w[len(c) :] for w, c in zip(_strings(words, tailed), _strings(core, tailed), strict=True)]
+        heads = pc.if_else(pa.array(letters), core, words)
+        pieces = pa.concat_arrays([heads, pa.array(["", *tails], pa.string())]).dictionary_encode()
+        at = self._numbers(pieces.dictionary)
+        number = at[pieces.indices.to_numpy()]
+        pair = np.full((len(words), 2), number[len(words)])
+        pair[:, 0] = number[: len(words)]
+        pair[tailed, 1] = number[len(words) + 1 :]
+        ids, stop = _spread(self.flat, self.sizes, pair.ravel())
+        self._forget(at)
+        return ids, np.diff(stop[1::2], prepend=0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
@@ -153,14 +198,8 @@ class Encoder:
         wide = pc.any(pc.match_substring_regex(column, _WIDE_SPACE)).as_py()
         words = pc.utf8_split_whitespace(column) if wide else pc.ascii_split_whitespace(column)
         numbered = words.flatten().dictionary_encode()
-        ids = self._words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        width = self.kind.itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
-        which = numbered.indices.to_numpy()
-        size = sizes[which]
-        stop = np.cumsum(size)
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        ids, sizes = self._words(numbered.dictionary)
+        out, stop = _spread(ids, sizes, numbered.indices.to_numpy())
         upto = np.concatenate([[0], stop])[words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()]
         counts = np.diff(upto)
         if whole:
@@ -168,7 +207,7 @@ class Encoder:
             for row, raw in whole.items():
                 parts += [out[done : upto[row]], np.frombuffer(raw, dtype=self.kind)]
                 done = upto[row]
-                counts[row] = len(raw) // width
+                counts[row] = len(raw) // self.kind.itemsize
             out = np.concatenate([*parts, out[done:]])
         return out, np.bincount(np.array(owner, dtype=np.int64), counts, minlength=len(texts)).astype(np.int64)
 
@@ -177,14 +216,18 @@ def _occurrences(seq: np.ndarray, at: np.ndarray, narrow: bool) -> tuple[np.ndar
     """(pairs, where each begins among the places, its count, places by pair) of the neighbours at ``at`` and after."""
     a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
     if narrow:  # pair and place share a word, so one sort does both
-        both = np.sort((a << np.uint64(16) | b) << np.uint64(32) | at.astype(np.uint64))
-        pair, place = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        a <<= np.uint64(16)
+        a |= b
+        a <<= np.uint64(32)
+        a |= at.astype(np.uint64)
+        a.sort()
+        place, pair = (a & np.uint64(0xFFFFFFFF)).astype(np.uint32), (a >> np.uint64(32)).astype(np.uint32)
     else:
         pair = a << np.uint64(32) | b
         order = np.argsort(pair, kind="stable")
-        pair, place = pair[order], at[order]
-    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    return pair[begin], begin, np.diff(np.append(begin, len(pair))), place
+        pair, place = pair[order], at[order].astype(np.uint32)
+    begin = np.append(0, np.flatnonzero(pair[1:] != pair[:-1]) + 1) if len(pair) else np.zeros(0, np.int64)
+    return pair[begin].astype(np.uint64), begin, np.diff(begin, append=len(pair)), place
 
 
 def _apart(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -217,8 +260,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
     until none saves more bytes than its rule takes. A round replaces all pairs that occur at least as
     often as a bar, the most frequent first where they overlap; the bar falls by a factor of FALL
     until it is the least count that pays. From then on a round looks at pairs with a symbol of the
-    round before, and at all pairs where those give nothing. Pairs never cross the document ends
-    ``ends``. Symbol ``first_symbol + i`` stands for the pair ``rules[i]``. Symbols of 16 bits are
+    round before, and where those give nothing, at all that may pay: pairs that did when all were last
+    looked at, and pairs with a symbol made since (a pair of older ones does not become more frequent).
+    Pairs never cross the document ends ``ends``. Symbol ``first_symbol + i`` stands for the pair ``rules[i]``. Symbols of 16 bits are
     not widened for the sake of more rules: two bytes more for every symbol is more than the pairs
     that are left save.
     """
@@ -226,44 +270,53 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
     width, limit = (2, 0x10000) if narrow else (4, 1 << 32)
     half = np.uint64(8 * width)
     pays = (2 * width + 2) // width + 1
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), dtype=bool)
-    last[ends - 1] = True
+    seq, ends = ids.astype(np.uint32), np.asarray(ends, dtype=np.int64)
     rules: list[np.ndarray] = []
     top, mark, bar = first_symbol, 0, len(seq)
+    hot, since = None, 0  # where the pairs are that paid when all were looked at, the first symbol of that round
     while top < limit and len(seq) > 1:
-        inner = ~last[:-1]
-        if mark:
-            inner &= (seq[:-1] >= mark) | (seq[1:] >= mark)
+        if mark or hot is not None:
+            fresh = seq >= (mark or since)
+            inner = fresh[:-1] | fresh[1:]
+            if not mark:
+                inner |= hot[:-1]
+        else:
+            inner = np.ones(len(seq) - 1, dtype=bool)
+        inner[ends[:-1] - 1] = False
         pair, begin, count, place = _occurrences(seq, np.flatnonzero(inner), narrow)
         bar = max(pays, min(bar, int(count.max(initial=0))) // FALL)
         often = np.flatnonzero(count >= bar)
-        often = often[np.argsort(-count[often], kind="stable")[: limit - top]]
-        number = np.full(len(pair), -1, dtype=np.int64)
-        number[often] = np.arange(len(often))
-        rank = np.repeat(number, count)
-        at, rank = place[rank >= 0], rank[rank >= 0]
-        order = np.argsort(at)
-        at, rank = at[order], rank[order]
-        kept = _apart(at, rank)
+        often = often[np.argsort(-count[often], kind="stable")]
+        if bar == pays and not mark:
+            hot, since = np.zeros(len(seq), dtype=bool), top
+            hot[_runs(place, begin[often], count[often])[0]] = True
+        often = often[: limit - top]
+        # by place, for which a sort of numbers that hold the rank too is quickest
+        both = _runs(place, begin[often], count[often])[0].astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(np.arange(len(often), dtype=np.uint64), count[often])
+        both.sort()
+        at, rank = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        kept = np.flatnonzero(_apart(at, rank))
         at, rank = at[kept], rank[kept]
         worth = np.bincount(rank, minlength=len(often)) >= pays
-        at, rank = at[worth[rank]], rank[worth[rank]]
+        kept = np.flatnonzero(worth[rank])
+        at, rank = at[kept], rank[kept]
         if not len(at):
             if bar == pays and not mark:
                 break
             mark = 0
             continue
         seq[at] = top + (np.cumsum(worth) - 1)[rank]
-        last[at] = last[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        stay = np.flatnonzero(stay)
+        seq = seq[stay]
+        hot = hot if hot is None else hot[stay]
+        ends = ends - np.searchsorted(at + 1, ends - 1, side="right")
         chosen = pair[often[worth]]
         rules.append(np.stack([chosen >> half, chosen & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.int64))
         mark, top = top if bar == pays else 0, top + len(chosen)
-    starts = np.concatenate([[0], np.flatnonzero(last) + 1])
-    return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return seq, np.append(0, ends), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def levels(rules: np.ndarray, first_symbol: int) -> list[np.ndarray]:

@@ -478,6 +478,22 @@ def test_a_text_longer_than_pieces_and_a_small_cache(monkeypatch):
         assert got.tolist() == [i for x in texts for i in Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids] and len(n) == 5
 
 
+def test_words_that_the_cache_has_room_for_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    monkeypatch.setattr(tokenbin, "CACHE_BYTES", 70_000)
+    enc = tokenbin.Encoder(open(path, encoding="utf-8").read())
+    r, asked = random.Random(3), []
+    through = enc._pieces
+    monkeypatch.setattr(enc, "_pieces", lambda pieces: asked.append(len(pieces)) or through(pieces))
+    one, two = (" ".join({"".join(r.choices("abcdefghij", k=10)): None for _ in range(500)}) for _ in range(2))
+    for text, new in [(one, 500), (one, 0), (two, 500), (two, 0), (one, 500), (one + ". " + two, 500)]:
+        asked.clear()
+        assert enc.encode([text])[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert new <= sum(asked) <= new + 2  # the full stop is a piece too
+
+
 def test_other_vocabularies_are_encoded_whole():
     from tokenizers import Tokenizer
 
@@ -515,6 +531,16 @@ def test_grammar_random_access(first):
     assert max(left.values()) < pays + 2
 
 
+def test_pairs_that_cannot_pay_are_not_looked_at_again(monkeypatch):
+    r = np.random.default_rng(3)
+    ids = np.minimum(r.zipf(1.3, 20_000), 5000)
+    seen, look = [], tokenbin._occurrences
+    monkeypatch.setattr(tokenbin, "_occurrences", lambda seq, at, narrow: seen.append(len(at) / len(seq)) or look(seq, at, narrow))
+    s = tokenbin.Shard(tokenbin.pack(ids, np.array([7_000, 20_000]), 6000))
+    assert (s.document(0) == ids[:7000]).all() and (s.document(1) == ids[7000:]).all()
+    assert seen[0] > 0.9 and seen[-1] < 0.5
+
+
 def test_grammar_of_nothing_and_of_one_id():
     s = tokenbin.Shard(tokenbin.pack(np.array([1]), np.array([1]), 300))
     assert s.document(0).tolist() == [1] and len(s.rules) == 0
