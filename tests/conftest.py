@@ -1,3 +1,4 @@
+import importlib.util
 import os
 import sys
 
@@ -6,6 +7,12 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+# a child process that is started without PYTHONPATH finds DuckDB where this one does
+DUCKDB = "CHRONOLOOM_TESTS_DUCKDB"
+if there := importlib.util.find_spec("duckdb"):
+    os.environ[DUCKDB] = os.path.dirname(os.path.dirname(there.origin))
+elif DUCKDB in os.environ:
+    sys.path.append(os.environ[DUCKDB])
 
 
 @pytest.fixture(scope="session")
